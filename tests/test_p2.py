@@ -1,0 +1,47 @@
+"""Problem 2: registration, whole tables, and the forms the scan must find."""
+
+import importlib
+
+import pytest
+
+import __spark_entry__
+
+
+def test_registered_over_both_whole_tables(spark, tmp_path):
+    d = str(tmp_path)
+    spark.createDataFrame([(1, "write to ann@example.org"), (2, None), (3, "nothing here")], "id bigint, raw_text string").write.parquet(f"{d}/nuggets.parquet")
+    spark.createDataFrame([("r1", "passport 512345678"), ("r1", "passport 512345678")], "recommendationid string, review string").write.parquet(f"{d}/mixed_vote_score.parquet")
+    q = __spark_entry__.queries()
+    assert sorted(map(tuple, q["p2_found"](spark, d).collect())) == [("mixed_vote_score", "r1", "id_number"), ("nuggets", "1", "email")]
+    clean = sorted((r.table_name, r.record_id, r.clean_text) for r in q["p2_redacted"](spark, d).collect() if r.table_name == "nuggets")
+    assert clean == [("nuggets", "1", "write to [EMAIL]"), ("nuggets", "2", None), ("nuggets", "3", "nothing here")]
+
+
+def test_a_missing_queries_module_is_no_silence(monkeypatch):
+    real = importlib.import_module
+
+    def gone(name, *a):
+        if name == "tidemark.llm.queries":
+            raise ModuleNotFoundError(name)
+        return real(name, *a)
+
+    monkeypatch.setattr(importlib, "import_module", gone)
+    with pytest.raises(ModuleNotFoundError):
+        __spark_entry__.queries()
+
+
+def test_a_number_after_the_sentence_of_an_identity_number_ends_the_search():
+    import signal
+
+    from tidemark.llm import pii
+
+    def late(*_):
+        raise TimeoutError("the search does not end")
+
+    signal.signal(signal.SIGALRM, late)
+    signal.alarm(5)
+    try:
+        text = "Passport# F 4954 8781. 63 hours in and I'm hopeful."
+        assert pii.redact(text, pii.find(text)) == "Passport# [ID_NUMBER]. 63 hours in and I'm hopeful."
+    finally:
+        signal.alarm(0)

@@ -210,8 +210,9 @@ def find(text: str | None) -> list[tuple[int, int, str]]:
                 w = g.group()
                 if not (any(c.isdigit() for c in w) and sum(c.isalpha() for c in w) <= 2 or len(w) == 1 and w.isalpha() and (w.isupper() or value[0].islower()) and w != "I" and value[-1].isdigit() and not text[g.end() : g.end() + 2].lstrip().isalpha()):
                     break
-                if len(value) <= 3 or value[-1].isalnum():
-                    value, stop = value + w, g.end()
+                if len(value) > 3 and not value[-1].isalnum():
+                    break  # the sentence ended before this group
+                value, stop = value + w, g.end()
             trimmed = value.rstrip("./-")
             stop -= len(value) - len(trimmed)
             if sum(c.isdigit() for c in trimmed) >= 5:
