@@ -1,0 +1,115 @@
+"""Groups of records with the same content in different formatting: radix partitions, a trie in each."""
+
+from __future__ import annotations
+
+import hashlib
+import json
+import unicodedata
+from collections.abc import Callable, Iterator
+from decimal import Context, Decimal
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Records one partition should hold.
+PARTITION_ROWS = 20_000
+_WIDE = Context(prec=100_000)
+
+
+def text_form(text: str) -> str:
+    """Letters and digits in order without case; composed and decomposed accents are the same letter."""
+    if text.isascii():
+        return "".join(filter(str.isalnum, text.lower()))
+    folded = unicodedata.normalize("NFC", unicodedata.normalize("NFC", text).casefold())
+    return "".join(filter(str.isalnum, folded))
+
+
+def _value(x: object) -> object:
+    if isinstance(x, str):
+        return ["text", text_form(x)]
+    if isinstance(x, Decimal):
+        return ["number", str(x.normalize(_WIDE)) if x else "0"]
+    if isinstance(x, dict):
+        return ["object", [[k, _value(x[k])] for k in sorted(x)]]
+    if isinstance(x, list):
+        return ["array", [_value(y) for y in x]]
+    return x
+
+
+def _no_constant(name: str) -> None:
+    raise ValueError(f"{name} is no JSON")
+
+
+def array_form(text: str) -> str | None:
+    """A readable, non-empty JSON array with fields in fixed order and text values in their text form; else null."""
+    try:
+        x = json.loads(text, parse_int=Decimal, parse_float=Decimal, parse_constant=_no_constant)
+    except ValueError:
+        return None
+    return json.dumps(_value(x)) if isinstance(x, list) and x else None
+
+
+class Trie:
+    """Identifiers by digest; a branch is opened only where two digests part."""
+
+    def __init__(self) -> None:
+        self.root: dict = {}
+
+    def add(self, digest: bytes, value: int) -> None:
+        node, at = self.root, 0
+        while True:
+            leaf = node.get(digest[at])
+            if leaf is None:
+                node[digest[at]] = (digest, [value])
+                return
+            if isinstance(leaf, dict):
+                node, at = leaf, at + 1
+            elif leaf[0] == digest:
+                leaf[1].append(value)
+                return
+            else:
+                node[digest[at]] = {leaf[0][at + 1]: leaf}
+
+    def leaves(self) -> Iterator[list[int]]:
+        open_nodes = [self.root]
+        while open_nodes:
+            for x in open_nodes.pop().values():
+                if isinstance(x, dict):
+                    open_nodes.append(x)
+                else:
+                    yield x[1]
+
+
+def same_content(df: DataFrame, record_id: str, content: str, form: Callable[[str], str | None], *, partition_rows: int = PARTITION_ROWS) -> DataFrame:
+    """``(ids)``: the ascending ids of every distinct content, records alone in theirs included.
+
+    Contents meet by a 128-bit digest of their whole form; its leading bits choose the partition, a trie of each
+    partition's digests groups the ids. Null contents and those without a form are left out.
+    """
+    bits = max(0, (df.count() // partition_rows).bit_length())
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, keys = [], []
+            for i, text in zip(b["id"].to_pylist(), b["content"].to_pylist()):
+                if (f := form(text)) is not None:
+                    ids.append(i)
+                    keys.append(hashlib.blake2b(f.encode("utf-8", "surrogatepass"), digest_size=16).digest())
+            parts = [int.from_bytes(k[:4]) >> (32 - bits) for k in keys]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(parts, pa.int64())], names=["id", "digest", "part"])
+
+    def grouped(t: pa.Table) -> pa.Table:
+        trie = Trie()
+        for i, k in zip(t["id"].to_pylist(), t["digest"].to_pylist()):
+            trie.add(k, i)
+        return pa.table({"ids": pa.array([sorted(set(x)) for x in trie.leaves()], pa.list_(pa.int64()))})
+
+    rows = df.select(F.col(record_id).cast("bigint").alias("id"), F.col(content).cast("string").alias("content")).where("content is not null")
+    return rows.mapInArrow(digests, "id bigint, digest binary, part bigint").groupBy("part").applyInArrow(grouped, "ids array<bigint>")
+
+
+def pairs(groups: DataFrame) -> DataFrame:
+    """``(id_a, id_b)``, smaller first, of every two ids of a group; made row by row, however large the group."""
+    first = groups.where(F.size("ids") > 1).select("ids", F.posexplode("ids").alias("pos", "id_a"))
+    return first.select("id_a", F.explode(F.slice("ids", F.col("pos") + 2, F.size("ids"))).alias("id_b"))

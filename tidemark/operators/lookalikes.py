@@ -1,0 +1,139 @@
+"""One consistent form of text: disguised characters undone, genuine words of other scripts left alone."""
+
+from __future__ import annotations
+
+import re
+import unicodedata
+from collections import Counter
+from functools import lru_cache
+
+#: Look-alikes by script, as (letters of the script, the Latin letters they resemble).
+_PAIRS = {
+    "C": ("аАвВсСԁеЕɡһНіІјЈкКӏМоОрРԛѕЅТуԜԝхХҮүѵЗ", "aABBcCdeEghHiIjJkKlMoOpPqsSTyWwxXYuv3"),
+    "G": ("αΑΒεΕΗιΙκΚΜνΝοΟρΡτΤυΥχΧΖγ", "aABeEHiIkKMvNoOpPtTuYxXZy"),
+    "A": ("օսհոց", "ouhng"),
+}
+_SCRIPTS = "LCGA"
+_FAR = 1e9
+#: Costs of the lattice: reading a letter as its look-alike, the same into the text's script in a word of several scripts,
+#: changing script between words and within one.
+SUBSTITUTE, SUBSTITUTE_MIXED, BETWEEN, WITHIN = 1.5, 0.5, 2.0, 3.0
+
+_HIDDEN = "\u00ad\u034f\u115f\u1160\u180e\u200b\u200c\u200d\u2060\u2061\u2062\u2063\u2064\u3164\ufeff\uffa0"
+_BIDI = "\u200e\u200f\u202a-\u202e\u2066-\u2069"
+_JOINERS = "\u200c\u200d"
+_WORDS = re.compile(r"[^\W\d_]+(?:[\u0300-\u036f]+[^\W\d_]*)*")
+
+
+def _maps() -> dict[tuple[str, str], dict[str, str]]:
+    out: dict[tuple[str, str], dict[str, str]] = {}
+    to_latin = {s: {a: b for a, b in zip(*p) if b.isalpha()} for s, p in _PAIRS.items()}
+    for s, m in to_latin.items():
+        out[s, "L"] = m
+        out["L", s] = {b: a for a, b in reversed(m.items())}
+    for s in to_latin:
+        for t in to_latin:
+            if s != t:
+                out[s, t] = {a: out["L", t][b] for a, b in to_latin[s].items() if b in out["L", t]}
+    return out
+
+
+_MAPS = _maps()
+
+
+@lru_cache(100_000)
+def _script(c: str) -> str:
+    name = unicodedata.name(c, "")
+    return {"LATIN": "L", "CYRILLIC": "C", "GREEK": "G", "ARMENIAN": "A"}.get(name.split(" ")[0], "")
+
+
+@lru_cache(100_000)
+def _plain(c: str) -> str:
+    """A character by itself, undone: full-width, ligature, mathematical letter or other space."""
+    kind, name = unicodedata.decomposition(c), unicodedata.name(c, "")
+    if unicodedata.category(c) == "Zs" or c == "\t":
+        return " "
+    if kind.startswith(("<wide>", "<font>")) or "FULLWIDTH" in name or (kind.startswith("<compat>") and "LIGATURE" in name and "ARABIC" not in name):
+        return unicodedata.normalize("NFKC", c)
+    return c
+
+
+def _pictograph(c: str) -> bool:
+    return c in "\ufe0f\u20e3" or 0x1F3FB <= ord(c) <= 0x1F3FF or unicodedata.category(c) == "So"
+
+
+def _joins(text: str, i: int) -> bool:
+    """A joiner inside an emoji, or between letters of a script that needs joiners."""
+    if not 0 < i < len(text) - 1 or text[i] not in _JOINERS:
+        return False
+    a, b = text[i - 1], text[i + 1]
+    if text[i] == "\u200d" and _pictograph(a) and _pictograph(b):
+        return True
+    needs = lambda c: unicodedata.bidirectional(c) == "AL" or (unicodedata.category(c)[0] in "LM" and 0x0900 <= ord(c) <= 0x0DFF)
+    return needs(a) and needs(b)
+
+
+def _visible(text: str) -> str:
+    if not re.search(f"[{_HIDDEN}{_BIDI}]", text):
+        return text
+    rtl = any(unicodedata.bidirectional(c) in ("R", "AL") for c in text)
+    bidi = re.compile(f"[{_BIDI}]")
+    return "".join(c for i, c in enumerate(text) if not (c in _HIDDEN and not _joins(text, i)) and not (not rtl and bidi.match(c)))
+
+
+def _composed(text: str) -> str:
+    """A letter with the accents after it in composed form, where there is one."""
+    return re.sub(r"[^\W\d_][\u0300-\u036f]+", lambda m: unicodedata.normalize("NFC", m.group()), text)
+
+
+def _one_script(text: str) -> str:
+    """Letters of another script that stand in for a look-alike, by the cheapest path through the lattice of scripts."""
+    runs: list[tuple[int, int, str, bool]] = []  # start, end, script, whether a word begins
+    for m in _WORDS.finditer(text):
+        at, begins = m.start(), True
+        while at < m.end():
+            s, end = _script(text[at]), at + 1
+            while end < m.end() and (_script(text[end]) in (s, "") or unicodedata.combining(text[end])):
+                end += 1
+            if s:
+                runs.append((at, end, s, begins))
+                begins = False
+            at = end
+    if len({s for _, _, s, _ in runs}) < 2:
+        return text
+    count = Counter()
+    for a, b, s, _ in runs:
+        count[s] += b - a
+    main = count.most_common(1)[0][0]
+    scripts = [s for s in _SCRIPTS if s in count]
+    best = {s: 0.0 if s == main else BETWEEN for s in scripts}
+    back: list[dict[str, str]] = []
+    for i, (a, b, own, begins) in enumerate(runs):
+        word = begins and (i + 1 == len(runs) or runs[i + 1][3])
+        step, now = {}, {}
+        for s in scripts:
+            change = BETWEEN if begins else WITHIN
+            p = min(scripts, key=lambda x: best[x] + (change if x != s else 0))
+            if s == own:
+                cost = 0.0
+            elif (own == "G" and word and b - a == 1) or not all(c in _MAPS[own, s] for c in text[a:b]):
+                cost = _FAR  # a symbol, or no look-alike
+            else:
+                cost = (SUBSTITUTE if word or s != main else SUBSTITUTE_MIXED) * (b - a)
+            now[s], step[s] = best[p] + (change if p != s else 0) + cost, p
+        best = now
+        back.append(step)
+    state = min(scripts, key=lambda s: best[s] + (0 if s == main else BETWEEN))
+    out = list(text)
+    for (a, b, own, _), step in zip(reversed(runs), reversed(back)):
+        if state != own and all(c in _MAPS[own, state] for c in text[a:b]):
+            out[a:b] = [_MAPS[own, state][c] for c in text[a:b]]
+        state = step[state]
+    return "".join(out)
+
+
+def consistent(text: str | None) -> str | None:
+    """The text in its one form. Null and empty text stay; superscripts, fractions, degree signs and emoji stay."""
+    if not text or (text.isascii() and "\t" not in text):
+        return text
+    return _one_script(_composed("".join(map(_plain, _visible(text)))))

@@ -1,0 +1,32 @@
+"""Problem 6 (the same content stored repeatedly in different formatting)."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.operators import copies
+from tidemark.session import table
+
+CONTENTS = {"nuggets": ("raw_text", copies.text_form), "ingest_batch": ("comments", copies.array_form)}
+
+
+def _groups(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    return {t: copies.same_content(table(spark, d, t), "id", c, form) for t, (c, form) in CONTENTS.items()}
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return reduce(DataFrame.unionByName, [copies.pairs(g).select(F.lit(t).alias("table_name"), "id_a", "id_b") for t, g in _groups(spark, d).items()])
+
+
+def p6_copies(spark: SparkSession, d: str) -> DataFrame:
+    """One record of each content, that of the smallest id, and its number of copies."""
+    return reduce(DataFrame.unionByName, [g.select(F.lit(t).alias("table_name"), F.element_at("ids", 1).alias("id"), F.size("ids").alias("copies")) for t, g in _groups(spark, d).items()])
+
+
+QUERIES = {"p6_found": p6_found, "p6_copies": p6_copies}
+
+#: Comments compare by parsed structure, which is no SQL expression; tests/test_p6.py has the cases.
+ORACLE: dict[str, str] = {}

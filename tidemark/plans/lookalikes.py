@@ -1,0 +1,35 @@
+"""Problem 9 (characters that look like others in the texts of documents)."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.operators.lookalikes import consistent
+from tidemark.session import table
+
+
+def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        texts = b["text"].to_pylist()
+        clean = [consistent(t) for t in texts]
+        yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(clean, pa.string()), pa.array([c != t for c, t in zip(clean, texts)], pa.bool_())], names=["doc_id", "clean_text", "changed"])
+
+
+def p9_clean(spark: SparkSession, d: str) -> DataFrame:
+    """Every document, null and empty texts too, in its one form, and whether that differs."""
+    rows = table(spark, d, "documents").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(_clean, "doc_id bigint, clean_text string, changed boolean")
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_clean(spark, d).where("changed").select("doc_id")
+
+
+QUERIES = {"p9_found": p9_found, "p9_clean": p9_clean}
+
+#: The lattice is no SQL expression; tests/test_p9.py has the cases.
+ORACLE: dict[str, str] = {}
