@@ -45,3 +45,23 @@ def test_a_number_after_the_sentence_of_an_identity_number_ends_the_search():
         assert pii.redact(text, pii.find(text)) == "Passport# [ID_NUMBER]. 63 hours in and I'm hopeful."
     finally:
         signal.alarm(0)
+
+
+def types(text):
+    from tidemark.llm import pii
+
+    return {(text[a:b], k) for a, b, k in pii.find(text)}
+
+
+@pytest.mark.parametrize("text,name", [
+    ("I spoke to Fatou Diallo about it", "Fatou Diallo"), ("my name is Svetlana Petrenkov.", "Svetlana Petrenkov"), ("Fatou Diallo has the spare key", "Fatou Diallo"),
+    ("Jorun Thorvik, who " + "really " * 30 + "minds, promised to call", "Jorun Thorvik"),
+    ("Dalgetty, Brannfeather who " + "really " * 30 + "minds closed my account", "Dalgetty, Brannfeather"),
+])
+def test_names_beside_a_cue(text, name):
+    assert (name, "person_name") in types(text)
+
+
+@pytest.mark.parametrize("text", ["I spoke to Customer Support twice", "The chart Shows Up In The Annual report", "according to Google Maps it is far", "reach the office", "LANDLORD OBJECTIONS CAME BACK"])
+def test_no_names_beside_a_cue(text):
+    assert not types(text)

@@ -50,6 +50,11 @@ NAME_BEFORE = [
     "regards, ", "sincerely, ", "account holder ", "contact: ",
 ]
 NAME_AFTER = [" is the contact", " has the spare key", " from support", " closed my", " promised "]
+#: Cues next to which a plain capitalised run of two words is a name, whatever its form.
+PERSON_AFTER = {" is the contact", " has the spare key", " from support"}
+#: Second words of companies, offices and places.
+NOT_PEOPLE = set("""support team service services customer help desk helpdesk council bank ltd inc llc gmbh corp company office department police court maps store
+cloud city county town university hospital school airport station group groups hotel insurance authority agency ministry street road avenue app pro plus up""".split())
 NOT_NAMES = set("""a an and are as at be but by can the do for from has have he her his i if in is it its me my no not of on or our please she so that their
 them there they this to us was we were will with you your title valid support someone anyone everyone nobody people team der die das und ist nicht el la los las
 le les des du de una un y e il que""".split())
@@ -87,6 +92,9 @@ _TITLED = re.compile(rf"(?<!\w)(?P<t>{_TITLE})\.?\s+(?P<a>{_WORD})(?:\s+(?P<b>{_
 _GIVEN = re.compile(rf"(?P<a>{_WORD})(?:\s+[^\W\d_]\.)?\s+(?P<b>{_WORD})", re.I)
 _INVERTED = re.compile(rf"(?P<b>{_WORD}),\s+$", re.I)
 _RUN = re.compile(rf"(?:{_TITLE}\.?\s+)?(?P<a>{_WORD})(?:,?\s+(?:[^\W\d_]\.\s+)?(?P<b>{_WORD}))?", re.I)
+_PLAIN = r"[^\W\d_a-zà-öø-ÿ][^\W\d_]*[a-zà-öø-ÿ](?:['’-][^\W\d_]+)*"
+_PLAIN_RUN = re.compile(rf"(?P<a>{_PLAIN})(?:\s+[^\W\d_]\.)?\s+(?P<b>{_PLAIN})(?P<more>\s+[^\W\d_a-zà-öø-ÿ])?")
+_PLAIN_END = re.compile(rf"(?<![\w'’-])(?P<a>{_PLAIN})(?:\s+[^\W\d_]\.)?\s+(?P<b>{_PLAIN})$")
 _BIGRAM = re.compile(rf"(?P<a>{_WORD})(?:\s+[^\W\d_]\.)?\s+$")
 _SUR = re.compile(rf".*{SURNAME}$", re.I)
 _STRONG = re.compile(rf".*{STRONG_SURNAME}$", re.I)
@@ -122,8 +130,14 @@ def _is_surname(word: str, shouting: bool) -> bool:
     return any(_SUR.match(p) and len(p) >= 5 for p in word.split("-")) or (word[:1].isupper() and not shouting and len(word) > 2)
 
 
+def _sentence(low: str, end: int) -> int:
+    """Where the sentence before ``end`` begins."""
+    return max((i + len(x) for x in ("\n", "! ", "? ", ". ", "; ", "\x00") if (i := low.rfind(x, 0, end)) >= 0), default=0)
+
+
 def _names(text: str, low: str, hits: list, taken: list[tuple[int, int]], shouting: bool) -> Iterator[tuple[int, int]]:
     plain = lambda w: _key(w) not in NOT_NAMES
+    person = lambda m: not shouting and all(plain(w) and _key(w) not in NOT_PEOPLE for w in m.group("a", "b"))
     for start, end, kinds in hits:
         left = start == 0 or not (low[start - 1].isalnum() or low[start - 1] in "@._+-'’/")
         if "title" in kinds and left and (m := _TITLED.match(text, start)) and m.end("t") <= end:
@@ -155,11 +169,15 @@ def _names(text: str, low: str, hits: list, taken: list[tuple[int, int]], shouti
                 yield m.start(), m.end("b")
             elif plain(a) and _SUR.match(a) and len(a) > 5 and (a[0].isupper() or _STRONG.match(a)):
                 yield m.start(), m.end("b" if b and _key(b) in _GIVEN_SET else "a")
+            elif (m := _PLAIN_RUN.match(text, end)) and person(m) and not (text[start].isupper() and m.group("more")):  # a heading has every word capitalised
+                yield m.start(), m.end("b")
         if "after" in kinds:
-            at = max(low.rfind(x, 0, start) + len(x) for x in ("\n", "! ", "? ", ". ", "; ", "\x00"))
+            at = _sentence(low, start)
             while at > 0 and low[max(0, at - 5) : at].split(" ")[-2:][:1] and re.search(rf"(?:^|\W){_TITLE}\. $|\b[a-z]\. $", low[max(0, at - 8) : at]):
-                at = max(low.rfind(x, 0, at - 2) + len(x) for x in ("\n", "! ", "? ", ". ", "; ", "\x00"))
-            if start - at <= 160 and (m := _RUN.match(text, at)):
+                at = _sentence(low, max(0, at - 2))
+            if low[start:end] in PERSON_AFTER and (m := _PLAIN_END.search(text, max(0, start - 80), start)) and person(m):
+                yield m.start(), m.end("b")
+            if m := _RUN.match(text, at):
                 a, b = m.group("a"), m.group("b")
                 if plain(a) and (_key(a) in _GIVEN_SET and b and plain(b) or _STRONG.match(a) or (_SUR.match(a) and len(a) > 5 and text[m.end("a") : m.end("a") + 1] in ",( ")):
                     yield m.start(), m.end("b") if b and (_SUR.match(b) or _key(b) in _GIVEN_SET) else m.end("a")
