@@ -65,3 +65,16 @@ def test_names_beside_a_cue(text, name):
 @pytest.mark.parametrize("text", ["I spoke to Customer Support twice", "The chart Shows Up In The Annual report", "according to Google Maps it is far", "reach the office", "LANDLORD OBJECTIONS CAME BACK"])
 def test_no_names_beside_a_cue(text):
     assert not types(text)
+
+
+@pytest.mark.parametrize("text,phone", [
+    ("My phone number: +44 20 7946 0391", "+44 20 7946 0391"), ("mobile no. 07700 900123", "07700 900123"), ("Telefono: +34 612 345 678", "+34 612 345 678"),
+    ("call Bruno 020 7946 0391", "020 7946 0391"), ("number 0044 20 7946 0391", "0044 20 7946 0391"),
+])
+def test_phones_after_the_word_number(text, phone):
+    assert (phone, "phone") in types(text)
+
+
+@pytest.mark.parametrize("text", ["order 020 7946 0391", "Ticket number: 020 7946 0391", "order no. +44 20 7946 0391", "id 020 7946 0391", "invoice #020 7946 0391"])
+def test_other_numbers_are_no_phones(text):
+    assert "phone" not in {k for _, k in types(text)}

@@ -58,7 +58,10 @@ cloud city county town university hospital school airport station group groups h
 NOT_NAMES = set("""a an and are as at be but by can the do for from has have he her his i if in is it its me my no not of on or our please she so that their
 them there they this to us was we were will with you your title valid support someone anyone everyone nobody people team der die das und ist nicht el la los las
 le les des du de una un y e il que""".split())
-NOT_PHONES = re.compile(r"(?:order|ticket|serial|reference|ref|invoice|build|version|error|case|parcel|tracking|sku|item|model|code|id|no|nr|number|#)\s*[.:#]?\s*$", re.I)
+NOT_PHONES = re.compile(r"(?:\b(?:order|ticket|serial|reference|ref|invoice|build|version|error|case|parcel|tracking|sku|item|model|code)(?:\s+(?:id|no|nr|number))?|#)\s*[.:#]?\s*$", re.I)
+#: Words that announce some number, unless a phone is named before them or the number has an international prefix.
+ANY_NUMBER = re.compile(r"\b(?:id|no|nr|number)\s*[.:#]?\s*$", re.I)
+PHONE_NUMBER = re.compile(r"(?:phone|mobile|mobil|cell|tel|telefono|teléfono|telefon|téléphone|whatsapp|contact|fax|call)\s*[.:]?\s*(?:id|no|nr|number)\s*[.:#]?\s*$", re.I)
 
 _WORD = r"[^\W\d_][^\W\d_'’]*(?:['’-][^\W\d_]+)*"
 _DOT = r"(?:\s*[(\[{<]\s*(?:dot|punto|point)\s*[)\]}>]\s*|\s+(?:dot|punto|point)\s+|\.)"
@@ -185,6 +188,14 @@ def _names(text: str, low: str, hits: list, taken: list[tuple[int, int]], shouti
                     yield m.start(), m.end("b")
 
 
+def _other_number(text: str, at: int) -> bool:
+    """Whether the words before ``at`` announce a number that is no phone."""
+    lo = max(0, at - 40)
+    if NOT_PHONES.search(text, lo, at):
+        return True
+    return bool(ANY_NUMBER.search(text, lo, at)) and not (text[at] == "+" or text.startswith("00", at) or PHONE_NUMBER.search(text, lo, at))
+
+
 def find(text: str | None) -> list[tuple[int, int, str]]:
     """Non-overlapping ``(start, end, type)`` in order. Null and empty text hold nothing; any length is read whole."""
     if not text:
@@ -256,7 +267,7 @@ def find(text: str | None) -> list[tuple[int, int, str]]:
             if m := next((x for p in _PHONES if (x := p.match(text, at))), None):
                 digits = sum(c.isdigit() for c in m.group())
                 tail = text[m.end() : m.end() + 2]
-                if digits >= 9 and not (tail[:1].isalpha() or (len(tail) == 2 and tail[0] in ".-,/" and tail[1].isdigit())) and not NOT_PHONES.search(text, max(0, at - 14), at):
+                if digits >= 9 and not (tail[:1].isalpha() or (len(tail) == 2 and tail[0] in ".-,/" and tail[1].isdigit())) and not _other_number(text, at):
                     a = at - 4 if low[max(0, at - 4) : at] == "tel:" else at
                     add(a, m.end(), "phone")
                     last = m.end()
