@@ -78,3 +78,17 @@ def test_phones_after_the_word_number(text, phone):
 @pytest.mark.parametrize("text", ["order 020 7946 0391", "Ticket number: 020 7946 0391", "order no. +44 20 7946 0391", "id 020 7946 0391", "invoice #020 7946 0391"])
 def test_other_numbers_are_no_phones(text):
     assert "phone" not in {k for _, k in types(text)}
+
+
+@pytest.mark.parametrize("text,street", [
+    ("at 12 place de la Republique now", "12 place de la Republique"), ("12 cours Mirabeau", "12 cours Mirabeau"), ("live at 350 5th Avenue today", "350 5th Avenue"),
+    ("1200 Dr Martin Luther King Boulevard", "1200 Dr Martin Luther King Boulevard"), ("Calle de las Huertas 12", "Calle de las Huertas 12"), ("12 The Avenue", "12 The Avenue"),
+    ("4 Isle of the Dogs Lane", "4 Isle of the Dogs Lane"), ("221 Baker Street", "221 Baker Street"), ("7 rue Desnos", "7 rue Desnos"),
+])
+def test_streets(text, street):
+    assert (street, "street_address") in types(text)
+
+
+@pytest.mark.parametrize("text", ["2 place settings were missing", "3 cours particuliers", "waited 5 minutes on the street", "we run 2 3rd party drive tools", "1 place to live", "sold 40 of the old and very rusty drive units"])
+def test_no_streets(text):
+    assert "street_address" not in {k for _, k in types(text)}

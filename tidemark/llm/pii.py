@@ -29,7 +29,7 @@ ID_CUES = [
 ]
 STREETS = "street st road rd lane ln avenue ave close crescent cres drive terrace gardens boulevard blvd mews grove".split()
 STREET_CUES = [
-    *(f" {s}" for s in STREETS), "rue ", "avenue ", "boulevard ", "chemin ", "allée ", "impasse ", "quai ", "calle ", "avda", "avenida ", "paseo ", "plaza ",
+    *(f" {s}" for s in STREETS), "rue ", "avenue ", "boulevard ", "chemin ", "allée ", "impasse ", "quai ", "place ", "cours ", "calle ", "avda", "avenida ", "paseo ", "plaza ",
     "carrer ", "rua ", "travessa ", "viale ", "via ", "piazza ", "straße ", "strasse ", "str. ", "weg ", "platz ", "allee ", "gasse ", "ул. ", "улица ", "box ", "postfach ",
     "apartado ", "boîte postale ", "caixa postal ",
 ]
@@ -50,6 +50,8 @@ NAME_BEFORE = [
     "regards, ", "sincerely, ", "account holder ", "contact: ",
 ]
 NAME_AFTER = [" is the contact", " has the spare key", " from support", " closed my", " promised "]
+#: Of the words that stand in no name, those that stand in the capitalised name of a street.
+ARTICLES = set("the of de del la las los el da do dos das di le les des du der den".split())
 #: Cues next to which a plain capitalised run of two words is a name, whatever its form.
 PERSON_AFTER = {" is the contact", " has the spare key", " from support"}
 #: Second words of companies, offices and places.
@@ -82,10 +84,11 @@ _PHONES = [
 _NUMBER = r"\d{1,5}(?:\s?[A-Za-z](?![A-Za-z]))?"
 _UNIT = r"(?:(?:flat|apt\.?|apartment|unit|suite|room)\s+\w{1,5},\s*)?"
 _TAIL = r"(?:,?\s*(?:apt\.?|apartment|flat|unit|suite)\s+\w{1,5})?"
+_ORDINAL = r"\d{1,3}(?:st|nd|rd|th)"
 _STREETS = [
-    re.compile(_UNIT + rf"(?<!\w){_NUMBER}\s+(?P<w>(?:{_WORD}\.?\s+){{1,3}}?)(?:{'|'.join(STREETS)})(?!\w)\.?" + _TAIL, re.I),
-    re.compile(rf"(?<!\w){_NUMBER}(?:\s*(?:bis|ter|quater))?,?\s+(?:rue|avenue|boulevard|place|chemin|allée|impasse|quai|cours)\s+(?:(?:de\s+la|de\s+l['’]|des|du|de|d['’])\s*)?(?P<w>{_WORD})", re.I),
-    re.compile(rf"(?<!\w)(?:calle|avda\.?|avenida|paseo|plaza|carrer|rua|travessa|viale|via|piazza)\s+(?:(?:de\s+la|de\s+los|del|de|da|do|dos|la)\s+)?(?P<w>{_WORD}(?:\s+{_WORD})?),?\s*(?:n[º°.o]\.?\s*)?\d{{1,4}}(?:,\s*\d{{1,2}}\s?[º°ª]\s?\w?)?", re.I),
+    re.compile(_UNIT + rf"(?<!\w){_NUMBER}\s+(?P<w>(?:(?:{_WORD}|{_ORDINAL})\.?\s+){{1,6}}?)(?P<kind>{'|'.join(STREETS)})(?!\w)\.?" + _TAIL, re.I),
+    re.compile(rf"(?<!\w){_NUMBER}(?:\s*(?:bis|ter|quater))?,?\s+(?P<kind>rue|avenue|boulevard|place|chemin|allée|impasse|quai|cours)\s+(?:(?:de\s+la(?!\w)|de\s+l['’]|des(?!\w)|du(?!\w)|de(?!\w)|d['’])\s*)?(?P<w>{_WORD})", re.I),
+    re.compile(rf"(?<!\w)(?:calle|avda\.?|avenida|paseo|plaza|carrer|rua|travessa|viale|via|piazza)\s+(?:(?:de\s+las|de\s+los|de\s+la|de\s+el|del|delle|della|dei|degli|de|das|dos|da|do|di|las|los|la|el)\s+)?(?P<w>{_WORD}(?:\s+{_WORD})?),?\s*(?:n[º°.o]\.?\s*)?\d{{1,4}}(?:,\s*\d{{1,2}}\s?[º°ª]\s?\w?)?", re.I),
     re.compile(rf"(?<!\w)(?P<w>{_WORD}(?:straße|strasse|str\.|weg|platz|allee|gasse))\s+\d{{1,4}}\s?[a-z]?(?!\w)(?:,\s*\d{{5}}\s+{_WORD})?", re.I),
     re.compile(rf"(?<!\w)(?:ул\.|улица)\s*(?P<w>{_WORD}),?\s*(?:д\.?\s*)?\d{{1,4}}", re.I),
     re.compile(r"(?<!\w)(?:p\.?\s?o\.?\s?box|post\s+office\s+box|postfach|apartado(?:\s+de\s+correos)?|boîte\s+postale|caixa\s+postal)\s+(?:no\.?\s*)?(?P<w>\d{1,6})(?!\w)", re.I),
@@ -188,6 +191,22 @@ def _names(text: str, low: str, hits: list, taken: list[tuple[int, int]], shouti
                     yield m.start(), m.end("b")
 
 
+def _is_street(form: int, m: re.Match) -> bool:
+    """Whether the words of a street parser's match are a street's name; ``form`` is its place in ``_STREETS``."""
+    if form == 5:
+        return True
+    words = m.group("w").split()
+    keys = [_key(w.strip(".")) for w in words]
+    upper = lambda w: w[:1].isupper() or w[:1].isdigit()
+    allowed = ARTICLES if form == 0 else ARTICLES - {"the", "of"} if form == 2 else set()
+    if any(k in NOT_NAMES | ARTICLES and k not in allowed for k in keys) or all(k in ARTICLES - {"the"} for k in keys):
+        return False
+    if form == 0 and (len(words) > 3 or any(w[0].isdigit() for w in words) or ARTICLES.intersection(keys)):
+        # a name, not a phrase like '2 3rd party drive'
+        return upper(m.group("kind")) and upper(words[0]) and all(upper(w) or k in ARTICLES for w, k in zip(words, keys))
+    return form != 1 or _key(m.group("kind")) not in ("place", "cours") or upper(words[0])  # else '2 place settings'
+
+
 def _other_number(text: str, at: int) -> bool:
     """Whether the words before ``at`` announce a number that is no phone."""
     lo = max(0, at - 40)
@@ -253,7 +272,7 @@ def find(text: str | None) -> list[tuple[int, int, str]]:
                 for m in p.finditer(text, lo, min(len(text), end + 70)):
                     if m.start() > end:
                         break
-                    if m.end() >= end - 1 and (i == 5 or not any(_key(w.strip(".")) in NOT_NAMES for w in m.group("w").split())):
+                    if m.end() >= end - 1 and _is_street(i, m):
                         add(m.start(), m.end(), "street_address")
     last = -1
     for start, end, kinds in hits:
