@@ -72,8 +72,8 @@ def _bucket_diff(names: Sequence[str], left_name: str, right_name: str) -> Calla
         emit(rt["k"].filter(pa.array(~back)), right_name, None, None)
         both_l = lt.filter(pa.array(hit))
         both_r = rt.take(pa.array(at[hit], pa.int64()))
-        for c in names:
-            a, b = both_l[c], both_r[c]
+        for i, c in enumerate(names):
+            a, b = both_l[f"v{i}"], both_r[f"v{i}"]
             mask = pc.or_(pc.fill_null(pc.not_equal(a, b), False), pc.xor(pc.is_null(a), pc.is_null(b)))
             emit(both_l["k"].filter(mask), c, a.filter(mask), b.filter(mask))
         flat = lambda parts: pa.concat_arrays(parts) if parts else pa.array([], pa.string())
@@ -102,10 +102,11 @@ def table_differences(
     masks, and only masked cells leave the task.
 
     A null key is a key of its own. Repeated keys count as versions. Two nulls are equal. An empty copy makes
-    every record of the other one missing. Columns not in ``values`` are ignored.
+    every record of the other one missing. Columns not in ``values`` are ignored. Compared columns may have any names:
+    they are ``v0``, ``v1``, ... until the output.
     """
-    lkeys = latest_version(left, key, left_order, [f(F.col(c)).alias(c) for c, (f, _) in values.items()])
-    rkeys = latest_version(right, key, right_order, [f(F.col(c)).alias(c) for c, (_, f) in values.items()])
+    lkeys = latest_version(left, key, left_order, [f(F.col(c)).alias(f"v{i}") for i, (c, (f, _)) in enumerate(values.items())])
+    rkeys = latest_version(right, key, right_order, [f(F.col(c)).alias(f"v{i}") for i, (c, (_, f)) in enumerate(values.items())])
     buckets = max(1, -(-max(left.count(), right.count()) // bucket_keys))
     cut = lambda d: d.withColumn("bucket", F.pmod(F.xxhash64("k"), F.lit(buckets)))
     inner = _bucket_diff(list(values), left_name, right_name)
