@@ -33,9 +33,11 @@ def tree_aggregate(
 
     Round 0 combines fixed-size chunks of each input task inside the task, over all key fields at once, so an
     expensive input expression is evaluated once per row. Only the states of a chunk are shuffled, spread by key
-    and chunk number. Each further round merges ``fan_in`` neighbouring states of a key, so no reducer ever takes
-    more than ``fan_in`` states per key however hot the key is; the number of rounds is the logarithm of the number
-    of input tasks.
+    and chunk number. The next round merges all states of an input task at once: for each key, the task's rows /
+    ``chunk_rows`` times the distinct values of the other key fields met with it, less what map-side combining takes
+    off; this round is not bounded by ``fan_in``. Each further round merges the states of ``fan_in`` neighbouring
+    tasks, so there no reducer takes more than ``fan_in`` states per key however hot the key is; the number of
+    these rounds is the logarithm of the number of input tasks.
 
     Null keys form one group with ``key_value`` null, and empty text is a key like any other; null sums count as
     0; an empty input gives no rows. Other columns of ``df``, whatever their names, are not looked at.
