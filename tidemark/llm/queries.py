@@ -1,11 +1,14 @@
-"""Problem 2 (personal information in nuggets and reviews)."""
+"""Problems tagged llm: 2 (personal information), 4 (new batches against history)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import pii
+from tidemark.llm import history, pii
+from tidemark.llm.winnow import canonical
 from tidemark.session import table
 
 
@@ -21,7 +24,33 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_redacted(spark, d).select("table_name", "record_id", F.explode("pii_types").alias("pii_type")).distinct()
 
 
-QUERIES = {"p2_found": p2_found, "p2_redacted": p2_redacted}
+def _padded_key(name: str) -> Column:
+    return F.lower(F.trim(F.col(name).cast("string")))
+
+
+def p4_decisions(spark: SparkSession, d: str) -> DataFrame:
+    """``(incoming_id, batch_no, decision, reason)`` of every incoming row, batch by batch; rows without a batch number come last.
+
+    The store is built once over the whole history; each batch then reads of it only what its Bloom filters let through.
+    """
+    nuggets, seen, incoming = table(spark, d, "nuggets"), table(spark, d, "ingested_comments"), table(spark, d, "nuggets_incoming")
+    store = history.new_history(spark, nuggets.count() + seen.count())
+    known = seen.select(F.lit("fingerprint").alias("kind"), _padded_key("fingerprint").alias("value")).unionByName(nuggets.select(F.lit("key").alias("kind"), _padded_key("unique_key").alias("value")))
+    store.add("build", known, nuggets.select(canonical(F.col("extracted_insight")).alias("text")))
+    keys = [("fingerprint", _padded_key("fingerprint")), ("key", _padded_key("unique_key"))]
+    numbers = sorted((r[0] for r in incoming.select("batch_no").distinct().collect()), key=lambda b: (b is None, b))
+    parts = [store.check(incoming.where(F.col("batch_no").eqNullSafe(F.lit(b))), f"batch-{i}", keys, "incoming_id", "extracted_insight") for i, b in enumerate(numbers)]
+    schema = "id bigint, reason string"
+    refused = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
+    rows = incoming.select(F.col("incoming_id").alias("id"), "batch_no").join(refused, "id", "left")
+    return rows.select(F.col("id").alias("incoming_id"), "batch_no", F.when(F.col("reason").isNull(), "accept").otherwise("refuse").alias("decision"), "reason")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return p4_decisions(spark, d).where("decision = 'refuse'").select("incoming_id")
+
+
+QUERIES = {"p2_found": p2_found, "p2_redacted": p2_redacted, "p4_found": p4_found, "p4_decisions": p4_decisions}
 
 #: The scan is no SQL expression; tests/test_p2.py has its cases.
 ORACLE: dict[str, str] = {}
