@@ -1,15 +1,17 @@
-"""Problems tagged llm: 2 (personal information), 4 (new batches against history)."""
+"""Problems tagged llm: 2 (personal information), 3 (groups of the same complaint), 4 (new batches against history)."""
 
 from __future__ import annotations
 
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.llm import history, pii
+from tidemark.llm import history, mixture, pii
+from tidemark.llm.pairs import pairs_within
 from tidemark.llm.winnow import canonical
-from tidemark.session import table
+from tidemark.session import table, written
 
 
 def p2_redacted(spark: SparkSession, d: str) -> DataFrame:
@@ -24,6 +26,30 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_redacted(spark, d).select("table_name", "record_id", F.explode("pii_types").alias("pii_type")).distinct()
 
 
+#: The model name of rows embedded by a stand-in.
+STAND_IN = "fake (hash)"
+
+
+def p3_members(spark: SparkSession, d: str) -> DataFrame:
+    """``(id, group_id, density)``: every insight with its group, named by its most typical row."""
+    return mixture.same_meaning(table(spark, d, "nuggets"), record_id="id", text="extracted_insight", model="embedding_model", left_out=F.col("embedding_model") == STAND_IN)
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return pairs_within(p3_members(spark, d), "group_id", "id").select(F.col("id_a").alias("nugget_id_a"), F.col("id_b").alias("nugget_id_b"))
+
+
+def p3_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Each group of two or more with its model, size and three insights of highest density."""
+    members = written(p3_members(spark, d), "groups")
+    sizes = members.groupBy("group_id").agg(F.count("*").alias("size")).where("size > 1")
+    rank = F.row_number().over(Window.partitionBy("group_id").orderBy(F.desc("density"), "id"))
+    top = members.withColumn("rank", rank).where("rank <= 3").join(sizes, "group_id")
+    texts = table(spark, d, "nuggets").select("id", "embedding_model", "extracted_insight")
+    shown = F.transform(F.array_sort(F.collect_list(F.struct("rank", "extracted_insight"))), lambda x: x["extracted_insight"])
+    return top.join(texts, "id").groupBy("group_id", "embedding_model", "size").agg(shown.alias("typical_insights"))
+
+
 def _padded_key(name: str) -> Column:
     return F.lower(F.trim(F.col(name).cast("string")))
 
@@ -50,7 +76,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return p4_decisions(spark, d).where("decision = 'refuse'").select("incoming_id")
 
 
-QUERIES = {"p2_found": p2_found, "p2_redacted": p2_redacted, "p4_found": p4_found, "p4_decisions": p4_decisions}
+QUERIES = {"p2_found": p2_found, "p2_redacted": p2_redacted, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_decisions": p4_decisions}
 
 #: The scan is no SQL expression; tests/test_p2.py has its cases.
 ORACLE: dict[str, str] = {}
