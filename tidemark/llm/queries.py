@@ -1,4 +1,5 @@
-"""Problems tagged llm: 2 (personal information), 3 (groups of the same complaint), 4 (new batches against history)."""
+"""Problems tagged llm: 2 (personal information), 3 (groups of the same complaint), 4 (new batches against history),
+7 (containers of texts), 8 (mixing sources)."""
 
 from __future__ import annotations
 
@@ -8,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.llm import history, mixture, pii
+from tidemark.llm import history, mixing, mixture, packing, pii, tokens
 from tidemark.llm.pairs import pairs_within
 from tidemark.llm.winnow import canonical
 from tidemark.session import table, written
@@ -76,7 +77,41 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return p4_decisions(spark, d).where("decision = 'refuse'").select("incoming_id")
 
 
-QUERIES = {"p2_found": p2_found, "p2_redacted": p2_redacted, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_decisions": p4_decisions}
+def _token_sizes(spark: SparkSession, d: str) -> DataFrame:
+    return written(tokens.sizes(table(spark, d, "documents"), "doc_id", "text"), "sizes")
+
+
+def p7_assignment(spark: SparkSession, d: str) -> DataFrame:
+    """The container of every document, or of each piece of one longer than the capacity, for each pack size."""
+    sizes = _token_sizes(spark, d)
+    packs = table(spark, d, "pack_sizes").collect()  # a fixed, small table of parameters
+    parts = [packing.pack(sizes, p["capacity_tokens"]).select(F.lit(p["pack_id"]).alias("pack_id"), F.col("id").alias("doc_id"), "piece", "tokens", "bucket", "container") for p in packs]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Items, tokens and fill of every container of each pack size."""
+    packs = table(spark, d, "pack_sizes").select("pack_id", "capacity_tokens")
+    held = p7_assignment(spark, d).where("container is not null").groupBy("pack_id", "container").agg(F.count("*").alias("items"), F.sum("tokens").alias("tokens"))
+    return held.join(packs, "pack_id").withColumn("fill", F.round(F.col("tokens") / F.col("capacity_tokens"), 6))
+
+
+def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, d, "documents").withColumn("text_key", F.md5("text"))
+    return mixing.mix(written(tokens.sizes(docs, "doc_id", "text", "source", "text_key"), "sizes"), table(spark, d, "mix_targets"))
+
+
+def p8_selection(spark: SparkSession, d: str) -> DataFrame:
+    """The documents of the mix with the number of times each is used."""
+    return _mix(spark, d)[0].withColumnRenamed("id", "doc_id")
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and actual share of every source."""
+    return _mix(spark, d)[1]
+
+
+QUERIES = {"p7_assignment": p7_assignment, "p7_fill": p7_fill, "p8_selection": p8_selection, "p8_shares": p8_shares, "p2_found": p2_found, "p2_redacted": p2_redacted, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_decisions": p4_decisions}
 
 #: The scan is no SQL expression; tests/test_p2.py has its cases.
 ORACLE: dict[str, str] = {}
