@@ -1,8 +1,8 @@
 """Groups of rows that state the same thing in different words: Gaussian mixtures within blocks of one subject.
 
 1. Word statistics over all rows: how often a word stands with a capital and without, and alone of its kind.
-2. A row's subject is its most telling name (a word mostly written with a capital that most often stands alone in
-   its row), or, without names, its rarest word. Rows of one model and subject form a block; a block of more rows
+2. A row's subject is its most telling name (a word mostly written with a capital, first words aside, that most often
+   stands alone of its kind in its row), or, without names, its rarest word. Rows of one model and subject form a block; a block of more rows
    than ``PIECE_ROWS`` is cut into pieces by the hash of the id.
 3. Words weigh by rarity times how far rows of one block agree on them beyond chance, so the phrases that any
    subject is told in weigh nothing.
@@ -34,7 +34,7 @@ OVERLAP = 0.3
 #: Least variance of a standardised feature within a component, and steps of EM.
 LEAST_VARIANCE, EM_STEPS = 0.15, 8
 _WORD = r"[\p{L}\p{N}][\p{L}\p{N}'’-]*"
-_MEMBERS = "block bigint, pieces int, piece int, id bigint, words array<int>"
+_MEMBERS = "block bigint, pieces int, piece int, id bigint, subject int, words array<int>"
 _LABELS = _MEMBERS + ", label bigint, density double"
 
 
@@ -154,6 +154,7 @@ def _settle(t: pa.Table, label: np.ndarray, density: np.ndarray, weight: np.ndar
     has = np.zeros((n, len(slot)), np.float32)
     has[row, at] = 1.0
     w2 = (weight[slot] ** 2).astype(np.float32)
+    w2[slot == t["subject"][0].as_py()] = 1e-3  # all have it
     shared = (has * w2) @ has.T
     own = np.diag(shared)
     like = shared >= overlap * (own[:, None] + own[None, :] - shared) - 1e-9
@@ -229,20 +230,21 @@ def same_meaning(df: DataFrame, *, record_id: str, text: str, model: str, left_o
     rows = df.where(F.col(model).isNotNull() & F.col(text).isNotNull() & F.col(record_id).isNotNull() & ~F.coalesce(left_out, F.lit(False)))
     rows = rows.select(F.col(record_id).cast("bigint").alias("id"), F.xxhash64(F.col(model)).alias("model"), words.alias("w")).where(F.size("w") > 0)
     slot = lambda w: F.pmod(F.xxhash64(F.lower(w)), F.lit(SLOTS)).cast("int")
-    rows = rows.select("id", "model", F.transform("w", slot).alias("words"), F.transform("w", lambda w: F.regexp_like(w, F.lit(r"^\p{Lu}\p{Ll}{2}"))).alias("caps"))
+    capital = lambda w, i: F.when(~F.regexp_like(w, F.lit(r"^\p{Lu}\p{Ll}{2}")), 0).when(i == 0, 2).otherwise(1)  # noqa: E731  # 2: the first word has a capital anyway
+    rows = rows.select("id", "model", F.transform("w", slot).alias("words"), F.transform("w", capital).alias("caps"))
     base = written(rows, "mixture-words")
     sc = df.sparkSession.sparkContext
 
-    each = base.select(F.explode(F.arrays_zip("words", "caps")).alias("x")).select(F.col("x.words").alias("slot"), F.col("x.caps").cast("bigint").alias("cap"), (~F.col("x.caps")).cast("bigint").alias("low"))
-    cap, low = _table(each, "slot", "cap", "low")
-    more_caps, seen = cap > low, np.maximum(cap + low, 1)
+    each = base.select(F.explode(F.arrays_zip("words", "caps")).alias("x")).select(F.col("x.words").alias("slot"), (F.col("x.caps") == 1).cast("bigint").alias("cap"), (F.col("x.caps") == 0).cast("bigint").alias("low"), F.lit(1).alias("all"))
+    cap, low, seen = _table(each, "slot", "cap", "low", "all")
+    more_caps, used, seen = cap > low, seen > 0, np.maximum(seen, 1)
     total = max(1.0, float(base.count()))
     b_caps = sc.broadcast(more_caps)
 
     def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             row, w = _lists(b["words"])
-            name = _lists(b["caps"])[1].astype(bool) & b_caps.value[w]
+            name = (_lists(b["caps"])[1] > 0) & b_caps.value[w]
             row, w = row[name], w[name]
             sole = (np.bincount(row, minlength=len(b))[row] == 1).astype(float)
             u, at = np.unique(w, return_inverse=True)
@@ -256,7 +258,7 @@ def same_meaning(df: DataFrame, *, record_id: str, text: str, model: str, left_o
         telling, any_, seen = b_subject.value
         for b in batches:
             row, w = _lists(b["words"])
-            name = _lists(b["caps"])[1].astype(bool) & b_caps.value[w]
+            name = (_lists(b["caps"])[1] > 0) & b_caps.value[w]
             score = np.where(name, 1.0 + telling[w], 1.0 / (1.0 + seen[w]))
             order = np.lexsort((w, -score, row))
             first = order[np.searchsorted(row[order], np.arange(len(b)))]
@@ -266,7 +268,7 @@ def same_meaning(df: DataFrame, *, record_id: str, text: str, model: str, left_o
             with np.errstate(over="ignore"):
                 spread = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)).astype(np.int64)
                 block = b["model"].to_numpy() * np.int64(1_000_003) + key
-            yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(pieces), pa.array((spread % pieces).astype(np.int32)), b["id"], b["words"]], names=["block", "pieces", "piece", "id", "words"])
+            yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(pieces), pa.array((spread % pieces).astype(np.int32)), b["id"], pa.array(key.astype(np.int32)), b["words"]], names=["block", "pieces", "piece", "id", "subject", "words"])
 
     members = written(base.mapInArrow(blocks, _MEMBERS), "mixture-members")
     together = lambda x: x.repartition("block", "piece").sortWithinPartitions("block", "piece", "id")
@@ -276,7 +278,6 @@ def same_meaning(df: DataFrame, *, record_id: str, text: str, model: str, left_o
     agree = (agree * first + 0.5 * 8) / (first + 8) * (first > 0) + 0.5 * (first == 0)
     weight = np.log(total / np.minimum(seen, total)) * agree
     dims = ((np.arange(SLOTS, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(DIMS)
-    used = cap + low > 0
     scale = np.sqrt(np.maximum(np.bincount(dims[used].astype(int), (weight**2 * chance * (1 - chance))[used], DIMS), 1e-6))
     b_weights = sc.broadcast((weight, scale))
 
@@ -288,7 +289,7 @@ def same_meaning(df: DataFrame, *, record_id: str, text: str, model: str, left_o
     most = int(np.ceil(max(any_.max(initial=1), seen.max(initial=1)) / piece_rows))
     while most > 1 and not heads.isEmpty():
         n, most = n + 1, -(-most // FAN)
-        heads = heads.select("block", F.ceil(F.col("pieces") / FAN).cast("int").alias("pieces"), (F.col("piece") / FAN).cast("int").alias("piece"), "id", "words")
+        heads = heads.select("block", F.ceil(F.col("pieces") / FAN).cast("int").alias("pieces"), (F.col("piece") / FAN).cast("int").alias("piece"), "id", "subject", "words")
         merged = written(together(heads).mapInArrow(run, _LABELS), f"mixture-labels-{n}")
         out = out.join(merged.select(F.col("id").alias("label"), F.col("label").alias("higher")), "label", "left").select("id", F.coalesce("higher", "label").alias("label"), "density")
         heads = merged.where("pieces > 1 and id = label")

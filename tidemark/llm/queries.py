@@ -1,5 +1,6 @@
 """Problems tagged llm: 2 (personal information), 3 (groups of the same complaint), 4 (new batches against history),
-7 (containers of texts), 8 (mixing sources)."""
+6 (copies in other formatting), 7 (containers of texts), 8 (mixing sources), 9 (characters that look
+like others)."""
 
 from __future__ import annotations
 
@@ -9,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.llm import history, mixing, mixture, packing, pii, tokens
+from tidemark.llm import copies, history, lookalikes, mixing, mixture, packing, pii, tokens
 from tidemark.llm.pairs import pairs_within
 from tidemark.llm.winnow import canonical
 from tidemark.session import table, written
@@ -77,6 +78,20 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return p4_decisions(spark, d).where("decision = 'refuse'").select("incoming_id")
 
 
+CONTENTS = {"nuggets": ("raw_text", copies.text_form), "ingest_batch": ("comments", copies.array_form)}
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    parts = [copies.same_content(table(spark, d, t), "id", c, form)[1].select(F.lit(t).alias("table_name"), "id_a", "id_b") for t, (c, form) in CONTENTS.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def p6_copies(spark: SparkSession, d: str) -> DataFrame:
+    """One record of each content, that of the smallest id, and its number of copies."""
+    parts = [copies.same_content(table(spark, d, t), "id", c, form)[0].select(F.lit(t).alias("table_name"), F.col("first_id").alias("id"), "copies") for t, (c, form) in CONTENTS.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _token_sizes(spark: SparkSession, d: str) -> DataFrame:
     return written(tokens.sizes(table(spark, d, "documents"), "doc_id", "text"), "sizes")
 
@@ -111,7 +126,16 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d)[1]
 
 
-QUERIES = {"p7_assignment": p7_assignment, "p7_fill": p7_fill, "p8_selection": p8_selection, "p8_shares": p8_shares, "p2_found": p2_found, "p2_redacted": p2_redacted, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_decisions": p4_decisions}
+def p9_clean(spark: SparkSession, d: str) -> DataFrame:
+    """Every document, null and empty texts too, in its one form, and whether that differs."""
+    return lookalikes.clean(table(spark, d, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_clean(spark, d).where("changed").select("doc_id")
+
+
+QUERIES = {"p9_found": p9_found, "p9_clean": p9_clean, "p6_found": p6_found, "p6_copies": p6_copies, "p7_assignment": p7_assignment, "p7_fill": p7_fill, "p8_selection": p8_selection, "p8_shares": p8_shares, "p2_found": p2_found, "p2_redacted": p2_redacted, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_decisions": p4_decisions}
 
 #: The scan is no SQL expression; tests/test_p2.py has its cases.
 ORACLE: dict[str, str] = {}
