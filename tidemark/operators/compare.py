@@ -22,8 +22,24 @@ def text_value(c: Column) -> Column:
 
 
 def instant_value(c: Column) -> Column:
-    """An instant to the millisecond, from a timestamp or from text in any ISO spelling; other text stays itself."""
-    return F.coalesce(F.unix_millis(c.try_cast("timestamp")).cast("string"), text_value(c))
+    """An instant to the millisecond, from a timestamp."""
+    return F.unix_millis(c.cast("timestamp")).cast("string")
+
+
+_ISO = r"^\s*\d{4}-\d{1,2}-\d{1,2}([T ]\d{1,2}:\d{1,2}(:\d{1,2}([.,]\d*)?)?)?"
+_ZONE = r"\s*(Z|z|UTC|GMT|[+-]\d{1,2}(:?\d{2})?)\s*$"
+
+
+def instant_millis(c: Column) -> Column:
+    """Milliseconds of text in an ISO spelling, UTC where it names no offset, whatever the session's zone; else null."""
+    text = F.regexp_replace(c.cast("string"), ",(?=\\d)", ".")
+    zoned = F.when(text.rlike(_ISO + _ZONE), text).when(text.rlike(r"\d:\d+(\.\d*)?\s*$"), F.concat(F.trim(text), F.lit("Z"))).otherwise(F.concat(F.trim(text), F.lit("T00:00:00Z")))
+    return F.unix_millis(F.when(text.rlike(_ISO + r"(" + _ZONE + r"|\s*$)"), zoned).try_cast("timestamp"))
+
+
+def instant_text(c: Column) -> Column:
+    """An instant to the millisecond, from text in any ISO spelling; other text stays itself."""
+    return F.coalesce(instant_millis(c).cast("string"), text_value(c))
 
 
 def rounded_value(places: int) -> Callable[[Column], Column]:

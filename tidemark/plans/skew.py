@@ -32,11 +32,10 @@ INTS = ["relevant", "revisions"]
 
 def _differences(spark: SparkSession, d: str) -> DataFrame:
     plain = (compare.text_value, compare.text_value)
-    values = {c: plain for c in TEXT + INTS} | {c: (compare.instant_value, compare.instant_value) for c in TIMES} | {"match_confidence": (compare.rounded_value(4),) * 2}
-    seen = lambda: F.unix_millis(F.col("last_seen_utc").try_cast("timestamp"))
+    values = {c: plain for c in TEXT + INTS} | {c: (compare.instant_text, compare.instant_value) for c in TIMES} | {"match_confidence": (compare.rounded_value(4),) * 2}
     return compare.table_differences(
         table(spark, d, "signals"), table(spark, d, "signals_mirror"), key="record_id", values=values,
-        left_order=seen(), right_order=seen(), left_name="only_in_signals", right_name="only_in_signals_mirror",
+        left_order=compare.instant_millis(F.col("last_seen_utc")), right_order=F.unix_millis("last_seen_utc"), left_name="only_in_signals", right_name="only_in_signals_mirror",
     )
 
 

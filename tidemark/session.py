@@ -15,15 +15,13 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, else (tests, one machine) a folder of our own."""
+    """The folder all executors share: ``spark.checkpoint.dir``; on one machine (tests), where unset, a folder of our own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if set_dir.isDefined():
-            folder = set_dir.get()
-        else:
-            folder = "file://" + os.path.join(tempfile.gettempdir(), f"tidemark-{os.getpid()}")
-            spark.sparkContext.setCheckpointDir(folder)
+        master = spark.conf.get("spark.master", "local")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = "file://" + os.path.join(tempfile.gettempdir(), f"tidemark-{os.getpid()}")
     return folder.rstrip("/")
 
 
