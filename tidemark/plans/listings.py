@@ -48,7 +48,7 @@ def f04_price_history(spark: SparkSession, d: str) -> DataFrame:
 
 def f05_days_on_market(spark: SparkSession, d: str) -> DataFrame:
     o = observations(spark, d).groupBy("listing").agg(F.min("at").alias("a"), F.max("at").alias("b"))
-    return o.select("listing", F.expr("timestampdiff(DAY, a, b)").alias("days"))
+    return o.select("listing", F.expr("timestampdiff(DAY, a, b)").alias("market_days"))
 
 
 def _listings(spark: SparkSession, d: str) -> DataFrame:
@@ -180,7 +180,7 @@ ORACLE = {
     "f02_first_observations": f"with {_O} select listing, arg_min(observation, (t, observation)) first, count(*) observations from o group by listing",
     "f03_latest_observations": f"with {_O} select listing, observation, price, status from o qualify row_number() over (partition by listing order by t desc, observation desc) = 1",
     "f04_price_history": f"with {_O} select listing, string_agg(printf('%.2f', price), ',' order by t, observation) prices from o group by listing",
-    "f05_days_on_market": f"with {_O} select listing, (epoch_ms(max(t)) - epoch_ms(min(t))) // 86400000 days from o group by listing",
+    "f05_days_on_market": f"with {_O} select listing, (epoch_ms(max(t)) - epoch_ms(min(t))) // 86400000 market_days from o group by listing",
     "e17_area_stats": f"with {_P} select p_brand, count(*) n, round(avg(per_size), 6) mean, round(list_sort(list(per_size))[len(list(per_size)) // 2 + 1], 6) as median, round(min(per_size), 6) low, round(max(per_size), 6) high from p where per_size is not null group by p_brand having count(*) >= 3",
     "e18_trends": f"with {_O}, w as (select * from o where price is not null and t >= (select max(t) from o) - interval 365 day), r as (select *, row_number() over (partition by listing order by t, observation) rn, count(*) over (partition by listing) n from w), h as (select listing, count(*) n, avg(price) filter (rn <= n // 2) a, avg(price) filter (rn > n // 2) b from r where n >= 5 group by listing) select listing, n, round(b, 4) later_mean, round((b - a) / nullif(a, 0) * 100, 4) change_pct from h",
     "e19_shared_galleries": "select substr(sha256(substr(p_name, 1, 4)), 1, 32) gallery, count(distinct p_brand) brands, count(*) listings, min(p_partkey) first from part group by 1 having count(distinct p_brand) > 1",
