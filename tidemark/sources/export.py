@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: CSV that reads back as it was: quotes doubled, line breaks kept, null and empty text apart.
-CSV = {"header": True, "quoteAll": False, "escape": '"', "multiLine": True, "nullValue": "\\N", "emptyValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+CSV = {"header": True, "quoteAll": False, "escape": '"', "multiLine": True, "nullValue": "\\N", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
 def identity(df: DataFrame, key: str) -> DataFrame:
