@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.compare import instant_millis
 from tidemark.operators.relational import empty_as_null, keyed_merge, latest_by, top_k_per, zero_filled_days
+from tidemark.operators.rules import matched_phrases
 from tidemark.session import table
 
 TIMES = ["created_utc", "edited_utc", "removed_utc", "first_seen_utc", "last_seen_utc", "outcome_at"]
@@ -136,8 +137,7 @@ def e13_digest(spark: SparkSession, d: str, days: int = 7) -> DataFrame:
 
 def i05_matched_phrases(spark: SparkSession, d: str) -> DataFrame:
     """Phrases read back from the stored reason, with their records; one mention counts as once."""
-    inside = F.regexp_extract("match_reason", r"\[matched: ([^\]]*)\]", 1)
-    phrases = F.array_distinct(F.filter(F.transform(F.split(inside, ","), F.trim), lambda p: p != ""))
+    phrases = F.array_distinct(matched_phrases(F.col("match_reason")))
     each = archive(spark, d).select("record_id", F.explode(phrases).alias("phrase"))
     return each.groupBy("phrase").agg(F.count("*").alias("records")).withColumn("repeated", F.col("records") >= 2)
 
