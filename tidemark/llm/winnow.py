@@ -26,6 +26,26 @@ def mix(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(31))
 
 
+def _pieces(data: np.ndarray, gram: int) -> np.ndarray:
+    """Polynomial hash of every ``gram`` neighbouring bytes, from hashes of pieces of half the size."""
+    with np.errstate(over="ignore"):
+        base, size, part = np.uint64(1099511628211), 1, data + np.uint64(1)
+        out, done = np.zeros(len(data) + 1, np.uint64), 0
+        while True:
+            if gram & size:  # this size is part of the whole: it stands in front of what there is
+                rest = out[size : size + len(part)]
+                out = part[: len(rest)] * _power(base, done) + rest
+                done += size
+            if size * 2 > gram:
+                return out
+            part = part[: len(part) - size] * _power(base, size) + part[size:]
+            size *= 2
+
+
+def _power(base: np.uint64, n: int) -> np.uint64:
+    return np.uint64(pow(int(base), n, 1 << 64))
+
+
 def fingerprints(texts: list[str], gram: int = GRAM, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """``(row, fingerprint)`` of canonical texts, each fingerprint once per row, rows ascending.
 
@@ -39,21 +59,23 @@ def fingerprints(texts: list[str], gram: int = GRAM, window: int = WINDOW) -> tu
     size = np.fromiter(map(len, raw), np.int64, len(raw))
     start = np.concatenate(([0], np.cumsum(size + len(pad))[:-1])) if len(raw) else np.zeros(0, np.int64)
     n = max(0, len(data) - gram + 1)
-    h = np.zeros(n, np.uint64)
-    with np.errstate(over="ignore"):
-        for j in range(gram):
-            h = h * np.uint64(1099511628211) + data[j : j + n] + np.uint64(1)
-    h = mix(h)
+    h = mix(_pieces(data, gram)[:n])
     grams = np.maximum(size - gram + 1, 0)
     end = np.repeat(start + grams, size + len(pad))[:n]  # first position after the row's pieces
     at = np.arange(n)
     h[at >= end] = _TOP
     least = h.copy()
-    for j in range(1, window):
-        np.minimum(least[: n - j], h[j:], out=least[: n - j])
+    done = 1
+    while done < window:  # windows of twice the size, then the rest
+        step = min(done, window - done)
+        np.minimum(least[: n - step], least[step:].copy(), out=least[: n - step])
+        done += step
     row = np.repeat(np.arange(len(raw)), size + len(pad))[:n]
     ok = (at + window <= end) | ((at == start[row]) & (grams[row] > 0))
     row, least = row[ok], least[ok]
+    changed = np.ones(len(row), bool)  # neighbouring windows mostly keep the same hash
+    changed[1:] = (row[1:] != row[:-1]) | (least[1:] != least[:-1])
+    row, least = row[changed], least[changed]
     short = [i for i, b in enumerate(raw) if 0 < len(b) < gram]
     if short:
         row = np.concatenate((row, np.array(short, dtype=row.dtype)))
