@@ -29,6 +29,8 @@ SUBSTITUTE, SUBSTITUTE_MIXED, BETWEEN, WITHIN = 3.0, 0.5, 2.0, 3.0
 _HIDDEN = "\u00ad\u034f\u115f\u1160\u180e\u200b\u200c\u200d\u2060\u2061\u2062\u2063\u2064\u3164\ufeff\uffa0"
 _BIDI = "\u200e\u200f\u202a-\u202e\u2066-\u2069"
 _JOINERS = "\u200c\u200d"
+#: Where letters of the other scripts and of Latin are; a text without either has one script only.
+_OTHER, _LATIN = re.compile("[\u0370-\u058f\u1c80-\u1c8f\u1d2b\u1f00-\u1fff\u2de0-\u2dff\ua640-\ua69f]"), re.compile("[A-Za-z\u00c0-\u024f]")
 _WORDS = re.compile(r"[^\W\d_]+(?:[\u0300-\u036f]+[^\W\d_]*)*")
 
 
@@ -97,15 +99,24 @@ def _composed(text: str) -> str:
 Model = dict[tuple[int, int], float]
 
 
+@lru_cache(1)
+def _letters() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of every letter of the scripts by its code point (0 for all else), the letters, their scripts."""
+    codes = [c for c in [*range(0x41, 0x3000), *range(0xA640, 0xAC00), *range(0xFB00, 0xFB50)] if chr(c).islower() and _script(chr(c))]
+    number = np.zeros(0x110000, np.int32)
+    number[codes] = np.arange(1, len(codes) + 1)
+    return number, np.array([0, *codes]), np.array([0, *(1 + _SCRIPTS.find(_script(chr(c))) for c in codes)])
+
+
 def pair_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Codes ``first << 21 | second`` of neighbouring letters of one script (or a border, 0) and their counts."""
-    cps = np.frombuffer("\n".join(t.lower() for t in texts).join("\n\n").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    distinct, at = np.unique(cps, return_inverse=True)
-    script = np.array([" LCGA".find(_script(chr(c)) or " ") for c in distinct])[at]
-    cps = np.where(script > 0, cps, 0)
-    a, b, same = cps[:-1], cps[1:], (script[:-1] == script[1:]) | (script[:-1] * script[1:] == 0)
-    keep = same & ((a > 0) | (b > 0))
-    return np.unique(a[keep] << 21 | b[keep], return_counts=True)
+    number, letters, script = _letters()
+    at = number[np.frombuffer("\n".join(t.lower() for t in texts).join("\n\n").encode("utf-32-le", "surrogatepass"), np.uint32)]
+    a, b = at[:-1], at[1:]
+    keep = (a + b > 0) & ((script[a] == script[b]) | (a * b == 0))
+    n = np.bincount(a[keep].astype(np.int64) * len(letters) + b[keep], minlength=1)
+    pair = np.flatnonzero(n)
+    return letters[pair // len(letters)] << 21 | letters[pair % len(letters)], n[pair]
 
 
 def model_of(codes: list[int], counts: list[int]) -> Model:
@@ -138,6 +149,8 @@ def _one_script(text: str, model: Model) -> str:
     in that script, each letter exchanged, and leaving the text's script. A word of several scripts without any such
     spelling, or cheaper that way, stays as it is.
     """
+    if not _OTHER.search(text) or not _LATIN.search(text) and len({_script(c) for c in set(text)} - {""}) < 2:
+        return text
     words = list(_WORDS.finditer(text))
     runs_of = []
     count: Counter = Counter()
