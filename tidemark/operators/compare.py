@@ -10,9 +10,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import written
+
 #: Keys one bucket should hold; a bucket of both copies is one pair of Arrow tables in one task.
 BUCKET_KEYS = 20_000
 
+#: Differing records that are broadcast at most; keys are short, so this is some ten megabytes.
+BROADCAST_KEYS = 200_000
+
 OUT = "record_id string, difference string, left_value string, right_value string"
 
 
@@ -98,6 +103,23 @@ def _bucket_diff(names: Sequence[str], left_name: str, right_name: str) -> Calla
     return diff
 
 
+def _suspects(left: DataFrame, right: DataFrame) -> DataFrame:
+    """``(k)`` of the records that are missing on one side or whose hashes differ; versions and rows stay where they are.
+
+    Only the key, the order and two hashes of a row are shuffled, whatever its width.
+    """
+    def short(df: DataFrame) -> DataFrame:
+        rest = [c for c in df.columns if c.startswith("v")]
+        filled = lambda cs, none: F.xxhash64(F.lit(none), *[F.coalesce(c, F.lit(none)) for c in cs])  # noqa: E731  # nulls would leave no mark
+        marked = df.select("k", "o", filled(rest, "\x00").alias("h"), filled(rest[::-1], "\x01").alias("h2"))
+        return marked.groupBy("k").agg(F.max(F.struct("o", "h", "h2")).alias("m"))
+
+    a, b = short(left).alias("a"), short(right).alias("b")
+    both = a.join(b, F.col("a.k").eqNullSafe(F.col("b.k")), "full_outer")
+    differs = F.col("a.m").isNull() | F.col("b.m").isNull() | (F.col("a.m.h") != F.col("b.m.h")) | (F.col("a.m.h2") != F.col("b.m.h2"))
+    return both.where(differs).select(F.coalesce("a.k", "b.k").alias("k"))
+
+
 def table_differences(
     left: DataFrame,
     right: DataFrame,
@@ -109,21 +131,35 @@ def table_differences(
     left_name: str,
     right_name: str,
     bucket_keys: int = BUCKET_KEYS,
+    broadcast_keys: int = BROADCAST_KEYS,
 ) -> DataFrame:
     """``(record_id, difference, left_value, right_value)``: one row per missing record and per differing field.
 
     ``values`` gives, for every compared column, how the left and the right copy turn it into comparable text.
-    Each copy is reduced to its newest version per key, cut into hash buckets of about ``bucket_keys`` keys, and
-    the buckets are cogrouped as Arrow tables: keys align by sorted search, columns compare through null-aware
-    masks, and only masked cells leave the task.
-
-    A null key is a key of its own. Repeated keys count as versions. Two nulls are equal. An empty copy makes
+    Row hashes of the newest versions are compared first, so that rows which are equal are never shuffled whole. Of
+    the records that differ or are missing, the newest versions are cut into hash buckets of about ``bucket_keys`` keys,
+    and the buckets are cogrouped as Arrow tables: keys align by sorted search, columns compare through null-aware
+    masks, and only masked cells leave the task. Up to ``broadcast_keys`` such records are sent to where the rows are;
+    more of them are joined by shuffling.
+
+    A null key is a key of its own. Repeated keys count as versions; of versions of the same greatest order the greatest
+    row counts, and those that differ in a hash are compared in full. Two nulls are equal. An empty copy makes
     every record of the other one missing. Columns not in ``values`` are ignored. Compared columns may have any names:
     they are ``v0``, ``v1``, ... until the output.
     """
-    lkeys = latest_version(left, key, left_order, [f(F.col(c)).alias(f"v{i}") for i, (c, (f, _)) in enumerate(values.items())])
-    rkeys = latest_version(right, key, right_order, [f(F.col(c)).alias(f"v{i}") for i, (c, (_, f)) in enumerate(values.items())])
-    buckets = max(1, -(-max(left.count(), right.count()) // bucket_keys))
-    cut = lambda d: d.withColumn("bucket", F.pmod(F.xxhash64("k"), F.lit(buckets)))
+    def form(df: DataFrame, order: Column, side: int) -> DataFrame:
+        return df.select(F.col(key).alias("k"), order.alias("o"), *[f[side](F.col(c)).alias(f"v{i}") for i, (c, f) in enumerate(values.items())])
+
+    a, b = form(left, left_order, 0), form(right, right_order, 1)
+    suspects = written(_suspects(a, b), "differences-keys")
+    n = suspects.count()
+    few = suspects.select(F.col("k").alias("sk"))
+    few = F.broadcast(few) if n <= broadcast_keys else few
+    buckets = max(1, -(-n // bucket_keys))
+
+    def cut(df: DataFrame) -> DataFrame:
+        own = df.join(few, F.col("k").eqNullSafe(F.col("sk")), "left_semi")
+        return latest_version(own, "k", F.col("o"), [F.col(c) for c in df.columns if c.startswith("v")]).withColumn("bucket", F.pmod(F.xxhash64("k"), F.lit(buckets)))
+
     inner = _bucket_diff(list(values), left_name, right_name)
-    return cut(lkeys).groupBy("bucket").cogroup(cut(rkeys).groupBy("bucket")).applyInArrow(inner, schema=OUT)
+    return cut(a).groupBy("bucket").cogroup(cut(b).groupBy("bucket")).applyInArrow(inner, schema=OUT)
