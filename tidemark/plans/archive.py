@@ -229,7 +229,7 @@ def d23_context(spark: SparkSession, d: str) -> DataFrame:
     return n.join(first, ["platform", "thread_id"], "left").where("context_id <> id").select("id", "context_id")
 
 
-QUERIES = {k: v for k, v in list(globals().items()) if k[0] in "abcdefghijklmn" and k[1:3].isdigit()}
+QUERIES = {k: v for k, v in list(globals().items()) if k[0] in "abcdefghijklmn" and k[1:3].isdigit() and v.__module__ == __name__}
 
 _LEN = "case when length(coalesce({0}, '')) <= 280 then 'short' when length(coalesce({0}, '')) <= 1000 then 'medium' else 'long' end"
 _STRATUM = "coalesce(nullif(platform, ''), 'unknown') || '|' || coalesce(nullif(category, ''), 'uncategorised') || '|' || " + _LEN.format("raw_text")

@@ -77,7 +77,7 @@ def b05_coerced(spark: SparkSession, d: str) -> DataFrame:
     return a.select("record_id", "first_seen_utc", "removed_utc", F.coalesce("relevant", F.lit(0)).alias("relevant"), F.coalesce("revisions", F.lit(0)).alias("revisions"), F.round(F.coalesce("match_confidence", F.lit(0.0)), 4).alias("match_confidence"))
 
 
-QUERIES = {k: v for k, v in list(globals().items()) if k[0] in "abcdefghijklmn" and k[1:3].isdigit()}
+QUERIES = {k: v for k, v in list(globals().items()) if k[0] in "abcdefghijklmn" and k[1:3].isdigit() and v.__module__ == __name__}
 
 _S = lambda x: f"trim(regexp_replace(lower({x}), '[\\s\\p{{Z}}]+', ' ', 'g'))"
 _q = lambda s: s.replace("'", "''")

@@ -171,7 +171,7 @@ def j20_props(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy("event_type").agg(F.round(F.sum(k), 4).alias("total"), F.count_if(k.isNull()).alias("missing"))
 
 
-QUERIES = {k: v for k, v in list(globals().items()) if k[0] in "abcdefghijklmn" and k[1:3].isdigit()}
+QUERIES = {k: v for k, v in list(globals().items()) if k[0] in "abcdefghijklmn" and k[1:3].isdigit() and v.__module__ == __name__}
 
 _O = "o as (select o_custkey listing, o_orderkey observation, o_orderdate t, o_totalprice price, o_orderstatus status from orders)"
 _P = "p as (select *, case when p_size > 0 then p_retailprice / p_size end per_size from part)"

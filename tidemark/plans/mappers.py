@@ -183,7 +183,7 @@ def d09_linkage(spark: SparkSession, d: str) -> DataFrame:
     return s.select(F.explode(bad).alias("failure")).groupBy("failure").agg(F.count("*").alias("records"))
 
 
-QUERIES = {k: v for k, v in list(globals().items()) if k[0] in "abcdefghijklmn" and k[1:3].isdigit()}
+QUERIES = {k: v for k, v in list(globals().items()) if k[0] in "abcdefghijklmn" and k[1:3].isdigit() and v.__module__ == __name__}
 
 _HOST = "nullif(regexp_replace(lower(regexp_extract(source_url, '^(?i:https?)://(?:[^/@?#]*@)?([^/:?#]+)', 1)), '^www\\.', ''), '')"
 _N = "coalesce(case when json_valid(comments) then json_array_length(comments) end, 0)"

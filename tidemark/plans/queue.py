@@ -194,7 +194,7 @@ def m13_platform_counts(spark: SparkSession, d: str) -> DataFrame:
     return batches(spark, d).groupBy("run_id", "platform").agg(F.count("*").alias("batches"), F.bool_and(F.col("status") == "done").alias("all_done"))
 
 
-QUERIES = {k: v for k, v in list(globals().items()) if k[0] in "abcdefghijklmn" and k[1:3].isdigit()}
+QUERIES = {k: v for k, v in list(globals().items()) if k[0] in "abcdefghijklmn" and k[1:3].isdigit() and v.__module__ == __name__}
 
 _B = "b as (select *, coalesce(case when json_valid(comments) then json_array_length(comments) end, 0) n from ingest_batch)"
 _C = "c as (select id batch_id, platform, source, thread_id, run_id, unnest(range(cast(n as bigint))) pos, comments from (select *, case when json_valid(comments) then json_array_length(comments) end n from ingest_batch) where n > 0), k as (select *, json_extract_string(comments, '$[' || pos || '].body') body, json_extract_string(comments, '$[' || pos || '].id') comment_id from c)"

@@ -163,7 +163,7 @@ def e36_coverage_drop(spark: SparkSession, d: str, window: int = 10, drop: float
     return s.where("base > 0").select("platform", "field", F.round("now", 6).alias("now"), F.round("base", 6).alias("base"), F.coalesce(F.col("base") - F.col("now") >= drop, F.lit(False)).alias("dropped"))
 
 
-QUERIES = {k: v for k, v in list(globals().items()) if k[0] in "abcdefghijklmn" and k[1:3].isdigit()}
+QUERIES = {k: v for k, v in list(globals().items()) if k[0] in "abcdefghijklmn" and k[1:3].isdigit() and v.__module__ == __name__}
 
 _A = "t as (select record_id, nullif(platform, '') platform, concat_ws(' ', nullif(title, ''), nullif(excerpt, '')) x, lower(regexp_replace(concat_ws(' ', nullif(title, ''), nullif(excerpt, '')), 'https?://\\S+', ' ', 'g')) low from signals)"
 _q = lambda s: s.replace("'", "''")

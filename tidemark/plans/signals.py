@@ -233,7 +233,7 @@ def j01_stamps(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "signals").select("record_id", instant_millis(F.col("first_seen_utc")).alias("first_seen_ms"), instant_millis(F.col("last_seen_utc")).alias("last_seen_ms"))
 
 
-QUERIES = {k: v for k, v in list(globals().items()) if k[0] in "abcdefghijklmn" and k[1:3].isdigit()}
+QUERIES = {k: v for k, v in list(globals().items()) if k[0] in "abcdefghijklmn" and k[1:3].isdigit() and v.__module__ == __name__}
 
 _T = lambda c: f"epoch_ms(try_cast({c} as timestamptz))"
 _ARCHIVE = "a as (select * replace (" + ", ".join(f"try_cast(nullif({c}, '') as timestamptz) at time zone 'UTC' as {c}" for c in TIMES) + ", " + ", ".join(

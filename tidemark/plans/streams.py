@@ -43,7 +43,7 @@ def l12_stream_days(spark: SparkSession, d: str) -> DataFrame:
     return drained(days, "days", "complete").select(F.to_date("w.start").alias("day"), "event_type", "events")
 
 
-QUERIES = {k: v for k, v in list(globals().items()) if k[0] == "l" and k[1:3].isdigit()}
+QUERIES = {k: v for k, v in list(globals().items()) if k[0] == "l" and k[1:3].isdigit() and v.__module__ == __name__}
 
 ORACLE = {
     "l01_queue_handoff": "select id, platform, cast(coalesce(case when json_valid(comments) then json_array_length(comments) end, 0) as integer) comments from ingest_batch where status = 'pending' and kind = 'comment'",

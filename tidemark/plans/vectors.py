@@ -100,7 +100,7 @@ def d12_band_join(spark: SparkSession, d: str, most: int = 12) -> DataFrame:
     return near.select("p_partkey", "k2", "bits").distinct()
 
 
-QUERIES = {k: v for k, v in list(globals().items()) if k[0] in "abcdefghijklmn" and k[1:3].isdigit()}
+QUERIES = {k: v for k, v in list(globals().items()) if k[0] in "abcdefghijklmn" and k[1:3].isdigit() and v.__module__ == __name__}
 
 _DOT = "list_cosine_similarity(x.e, y.e)"
 _V = "v as (select vec_id, label, embedding::double[] e from embeddings)"
