@@ -210,3 +210,12 @@ ORACLE = {
     "m17_changed_since": "select n.platform, count(*) newer from nuggets n join (select platform, max(created_at) since from ingest_batch where status = 'failed' group by 1) f on f.platform = n.platform where n.created_at > f.since group by 1",
     "m23_filled": "with i as (select * from nuggets_incoming where unique_key is not null qualify row_number() over (partition by unique_key order by incoming_id) = 1) select n.id, coalesce(nullif(n.author, ''), i.author) author, coalesce(nullif(n.community, ''), i.community) community, coalesce(nullif(n.category, ''), i.category) category from nuggets n join i on i.unique_key = n.unique_key",
 }
+
+from tidemark.plans import listings as _listings, vectors as _vectors  # noqa: E402  # their oracles are parts of these
+
+ORACLE["k07_grouped_share"] = f"with g as ({_vectors.ORACLE['g04_nearest_with_label']}) select e.label, count(*) vectors, count(g.match) grouped from embeddings e left join g on g.id = e.vec_id group by e.label"
+ORACLE["h16_best_duplicates"] = f"""with c as (select p_partkey, k2 other from ({_vectors.ORACLE['d12_band_join']}) union select p_partkey, other from ({_listings.ORACLE['d13_price_band']}) where p_partkey < other),
+    p as (select *, string_split(p_name, ' ') w from part),
+    s as (select c.p_partkey, c.other, round((case when a.p_type = b.p_type then 3 else 0 end + case when a.p_size = b.p_size then 2 else 0 end + case when abs(a.p_retailprice - b.p_retailprice) <= 0.02 * a.p_retailprice then 1 else 0 end + 2 * (len(list_intersect(a.w, b.w)) / greatest(least(len(a.w), len(b.w)), 1))) / 8, 6) score
+          from c join p a on a.p_partkey = c.p_partkey join p b on b.p_partkey = c.other)
+    select * from (select * from s qualify row_number() over (partition by p_partkey order by score desc, other) = 1) where score >= 0.5"""

@@ -196,3 +196,7 @@ ORACLE = {
     "a14_newest_per_source": "select source, id, status, cast(row_number() over (partition by source order by id desc) as integer) rank from ingest_batch where source is not null qualify rank <= 5",
     "e36_coverage_drop": "with b as (select platform, id, comments, json_array_length(comments) n from (select * from ingest_batch where platform is not null and json_valid(comments)) where json_array_length(comments) > 0), r as (select *, row_number() over (partition by platform order by id desc) <= 10 new from b), c as (select platform, new, comments, unnest(range(cast(n as bigint))) i from r), f as (select platform, new, field, json_extract_string(comments, '$[' || i || '].' || field) is not null has from c, (values ('author'), ('score'), ('likes'), ('edited')) v(field)), s as (select platform, field, avg(has::int) filter (new) now, avg(has::int) filter (not new) base from f group by 1, 2) select platform, field, round(now, 6) as now, round(base, 6) base, coalesce(base - now >= 0.3, false) dropped from s where base > 0",
 }
+
+from tidemark.plans import queue as _queue  # noqa: E402  # its oracle is part of this one
+
+ORACLE["g06_source_plan"] = f"with s as ({_queue.ORACLE['e37_source_rates']}), w as (select round(median(rate), 6) m from s where rate > 0) select case when rate = 0 then 'zero' when rate >= m then 'hot' else 'warm' end plan, count(*) sources, cast(sum(nuggets) as bigint) nuggets from s, w group by 1"
