@@ -135,13 +135,18 @@ class History:
         folder = f"{self.path}/{gen}/{name}"
         (df.withColumn("part", F.pmod("h", F.lit(self.parts)).cast("int")).repartition("part").sortWithinPartitions("part", "h").write.partitionBy("part").parquet(folder))
 
-        def build(t: pa.Table) -> pa.Table:
-            return pa.table({"part": t["part"].slice(0, 1), "bloom": pa.array([bloom_build(t["h"].to_numpy())], pa.binary())})
-
         if name == "docs":
             return  # asked only for documents that are there
-        rows = self.spark.read.schema("h bigint, part int").parquet(folder).select("part", "h").distinct()
-        rows.groupBy("part").applyInArrow(build, "part int, bloom binary").write.partitionBy("part").parquet(f"{self.path}/{gen}/bloom-{name}")
+
+        def blooms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in (p for b in batches for p in b["id"].to_pylist()):
+                found = [pq.read_table(f, filesystem=fs, columns=["h"])["h"].to_numpy() for fs, f in _files(f"{folder}/part={part}")]
+                if found:
+                    bits = bloom_build(np.unique(np.concatenate(found)))
+                    yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([bits], pa.binary())], names=["part", "bloom"])
+
+        # each part is read where it lies: nothing is shuffled for its filter
+        self.spark.range(0, self.parts, 1, self.parts).mapInArrow(blooms, "part int, bloom binary").write.partitionBy("part").parquet(f"{self.path}/{gen}/bloom-{name}")
 
     def add(self, gen: str, keys: DataFrame | None, texts: DataFrame) -> None:
         """``keys`` (kind, value) and canonical ``texts`` (text) become the next generation; texts are keys too."""
