@@ -92,3 +92,16 @@ def test_streets(text, street):
 @pytest.mark.parametrize("text", ["2 place settings were missing", "3 cours particuliers", "waited 5 minutes on the street", "we run 2 3rd party drive tools", "1 place to live", "sold 40 of the old and very rusty drive units"])
 def test_no_streets(text):
     assert "street_address" not in {k for _, k in types(text)}
+
+
+def test_long_items_are_found_whole():
+    from tidemark.llm import pii
+
+    local = "a" * 400
+    for text, part, kind in [
+        (f"write to {local}@example.org now", f"{local}@example.org", "email"), ("write to ann@exämple.de now", "ann@exämple.de", "email"),
+        (f"at 12 {'Long' * 40} Street today", f"12 {'Long' * 40} Street", "street_address"), (f"Dalgetty{' ' * 90}, Brannfeather", "", ""),
+    ]:
+        if kind:
+            assert (part, kind) in types(text)
+    assert pii.redact(f"x {local}@example.org y", pii.find(f"x {local}@example.org y")) == "x [EMAIL] y"

@@ -69,7 +69,8 @@ _WORD = r"[^\W\d_][^\W\d_'’]*(?:['’-][^\W\d_]+)*"
 _DOT = r"(?:\s*[(\[{<]\s*(?:dot|punto|point)\s*[)\]}>]\s*|\s+(?:dot|punto|point)\s+|\.)"
 _LOCAL = re.compile(r"(?:[A-Za-z0-9À-ÿ_%+-]+(?:" + _DOT + r"[A-Za-z0-9À-ÿ_%+-]+)*)\s*$", re.I)
 _LOCAL_TIGHT = re.compile(r"[A-Za-z0-9À-ÿ._%+-]*[A-Za-z0-9À-ÿ_%+-]$")
-_DOMAIN = re.compile(r"\s*([A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24})\b", re.I)
+_LABEL = r"(?:[^\W_]|-)+"  # letters of any script: names may be international
+_DOMAIN = re.compile(rf"\s*({_LABEL}(?:\.{_LABEL})*\.[^\W\d_]{{2,24}})\b", re.I)
 _DOMAIN_SPELT = re.compile(r"\s*([A-Za-z0-9-]+(?:" + _DOT + r"[A-Za-z0-9-]+)*" + _DOT + r"[A-Za-z]{2,24})\b", re.I)
 _ID_LINK = re.compile(r"['’]?s?(?:\s*(?:photo\s+)?(?:card|security|insurance|identification|id)?\s*(?:no\.?|number|num\.?|nr\.?|nº|n°|#|:|is|=|:?\s*was)){0,3}\s*[:#=]?\s*", re.I)
 _ID_GROUP = re.compile(r"[A-Za-z0-9][A-Za-z0-9./-]*")
@@ -141,6 +142,37 @@ def _sentence(low: str, end: int) -> int:
     return max((i + len(x) for x in ("\n", "! ", "? ", ". ", "; ", "\x00") if (i := low.rfind(x, 0, end)) >= 0), default=0)
 
 
+def _back(text: str, at: int, words: int) -> int:
+    """Where the last ``words`` words before ``at`` begin, however long they are."""
+    for _ in range(words):
+        while at and text[at - 1].isspace():
+            at -= 1
+        while at and not text[at - 1].isspace():
+            at -= 1
+    return at
+
+
+def _ahead(text: str, at: int, words: int) -> int:
+    """Where the next ``words`` words after ``at`` end."""
+    for _ in range(words):
+        while at < len(text) and text[at].isspace():
+            at += 1
+        while at < len(text) and not text[at].isspace():
+            at += 1
+    return at
+
+
+def _before(pattern: re.Pattern, text: str, at: int) -> int | None:
+    """Where the match of ``pattern`` that ends at ``at`` begins; the view grows until the match ends within it."""
+    view = 120
+    while True:
+        lo = max(0, at - view)
+        m = pattern.search(text[lo:at])
+        if m is None or m.start() or not lo:
+            return None if m is None else lo + m.start()
+        view *= 2
+
+
 def _names(text: str, low: str, hits: list, taken: list[tuple[int, int]], shouting: bool) -> Iterator[tuple[int, int]]:
     plain = lambda w: _key(w) not in NOT_NAMES
     person = lambda m: not shouting and all(plain(w) and _key(w) not in NOT_PEOPLE for w in m.group("a", "b"))
@@ -161,13 +193,13 @@ def _names(text: str, low: str, hits: list, taken: list[tuple[int, int]], shouti
             if (m := _GIVEN.match(text, start)) and m.end("a") == end and plain(m.group("b")) and _is_surname(m.group("b"), shouting):
                 if text[start].isupper() or _SUR.match(m.group("b")):
                     yield start, m.end("b")
-            if (m := _INVERTED.search(text, max(0, start - 60), start)) and _SUR.match(m.group("b")) and plain(m.group("b")):
+            if (m := _INVERTED.search(text, _back(text, start, 2), start)) and _SUR.match(m.group("b")) and plain(m.group("b")):
                 yield m.start("b"), end
         if "sur" in kinds and (end == len(low) or not (low[end].isalnum() or low[end] in "@_")):
             at = start
             while at and (low[at - 1].isalpha() or low[at - 1] in "-'’"):
                 at -= 1
-            if start - at >= 2 and (m := _BIGRAM.search(text, max(0, at - 40), at)) and plain(m.group("a")) and text[at].isupper() and m.group("a")[0].isupper() and not shouting and _key(m.group("a")) in _GIVEN_SET:
+            if start - at >= 2 and (m := _BIGRAM.search(text, _back(text, at, 3), at)) and plain(m.group("a")) and text[at].isupper() and m.group("a")[0].isupper() and not shouting and _key(m.group("a")) in _GIVEN_SET:
                 yield m.start("a"), end
         if "before" in kinds and left and (m := _RUN.match(text, end)):
             a, b = m.group("a"), m.group("b")
@@ -181,7 +213,7 @@ def _names(text: str, low: str, hits: list, taken: list[tuple[int, int]], shouti
             at = _sentence(low, start)
             while at > 0 and low[max(0, at - 5) : at].split(" ")[-2:][:1] and re.search(rf"(?:^|\W){_TITLE}\. $|\b[a-z]\. $", low[max(0, at - 8) : at]):
                 at = _sentence(low, max(0, at - 2))
-            if low[start:end] in PERSON_AFTER and (m := _PLAIN_END.search(text, max(0, start - 80), start)) and person(m):
+            if low[start:end] in PERSON_AFTER and (m := _PLAIN_END.search(text, _back(text, start, 4), start)) and person(m):
                 yield m.start(), m.end("b")
             if m := _RUN.match(text, at):
                 a, b = m.group("a"), m.group("b")
@@ -209,7 +241,7 @@ def _is_street(form: int, m: re.Match) -> bool:
 
 def _other_number(text: str, at: int) -> bool:
     """Whether the words before ``at`` announce a number that is no phone."""
-    lo = max(0, at - 40)
+    lo = _back(text, at, 6)
     if NOT_PHONES.search(text, lo, at):
         return True
     return bool(ANY_NUMBER.search(text, lo, at)) and not (text[at] == "+" or text.startswith("00", at) or PHONE_NUMBER.search(text, lo, at))
@@ -237,13 +269,12 @@ def find(text: str | None) -> list[tuple[int, int, str]]:
             m = (_DOMAIN_SPELT if spelt else _DOMAIN).match(text, end)
             if not m:
                 continue
-            before = (_LOCAL if spelt else _LOCAL_TIGHT).search(text[max(0, start - 120) : start])
-            if not before:
+            a = _before(_LOCAL if spelt else _LOCAL_TIGHT, text, start)
+            if a is None:
                 continue
             domain, sign = m.group(1), low[start:end].strip()
             if sign == "at" and not re.search(r"\bdot\b|\bpunto\b|\bpoint\b", domain, re.I):
                 continue  # a preposition, not an address spelled out
-            a = max(0, start - 120) + before.start()
             if text[max(0, a - 7) : a].lower().endswith("mailto:"):
                 a -= 7
             add(a, m.end(1), "email")
@@ -267,9 +298,9 @@ def find(text: str | None) -> list[tuple[int, int, str]]:
                 add(at, stop, "id_number")
     for start, end, kinds in hits:
         if "street" in kinds:
-            lo = max(0, start - 90)
+            lo, hi = _back(text, start, 12), _ahead(text, end, 10)
             for i, p in enumerate(_STREETS):
-                for m in p.finditer(text, lo, min(len(text), end + 70)):
+                for m in p.finditer(text, lo, hi):
                     if m.start() > end:
                         break
                     if m.end() >= end - 1 and _is_street(i, m):
