@@ -49,3 +49,32 @@ def test_fingerprints_of_shared_text_and_short_texts():
     assert of(0) & of(1) and not of(2) and of(3) == of(4) != set()
     one = fingerprints([b], 12, 4)[1]
     assert of(1) == set(one.tolist())
+
+
+def test_word_marks_refuse_no_rewording(spark):
+    import random
+    from difflib import SequenceMatcher
+
+    import numpy as np
+
+    rng, words = random.Random(3), [f"w{i}" for i in range(400)]
+    pairs = []
+    for _ in range(400):
+        a = rng.choices(words, k=rng.choice([1, 8, 25, 300]))
+        b = [w if rng.random() > 0.1 else rng.choice(words) for w in a if rng.random() > 0.05]
+        pairs.append((" ".join(a), " ".join(b)))
+    shared = " ".join(words[:8])
+    pairs.append((shared + " " + " ".join(words[50:70]), shared + " " + " ".join(words[80:100])))  # one fingerprint in common, else unlike
+    x, y = history.word_marks([a for a, _ in pairs]), history.word_marks([b for _, b in pairs])
+    got = history.may_reword(x, y, 0.86)
+    want = np.array([SequenceMatcher(None, a.split(), b.split(), autojunk=False).ratio() >= 0.86 for a, b in pairs])
+    assert want.sum() > 100 and got[want].all() and not got[-1]
+    df = spark.createDataFrame([(i, int(a), int(b)) for i, (a, b) in enumerate(zip(x, y))], "i int, a bigint, b bigint")
+    assert {r.i for r in df.where(history._may_reword("a", "b", 0.86)).collect()} == set(np.flatnonzero(got).tolist())
+
+
+def test_a_part_is_asked_once_for_all_batches():
+    import pyarrow as pa
+
+    batches = [pa.RecordBatch.from_pydict({"part": pa.array(p, pa.int32()), "h": pa.array(h, pa.int64())}) for p, h in (([], []), ([1, 1], [5, 6]), ([1, 2], [7, 8]), ([2], [9]), ([4], [3]))]
+    assert [(p, b["h"].to_pylist()) for p, b in history._by_part(iter(batches))] == [(1, [5, 6, 7]), (2, [8, 9]), (4, [3])]

@@ -2,9 +2,10 @@
 
 A store is a folder with one sub-folder per generation (the first build, then one per batch). Each generation has
 three tables cut by ``part`` and sorted by the 64-bit key ``h``: ``keys`` (exact values), ``prints`` (winnowed
-fingerprints of texts) and ``docs`` (the texts), and a Bloom filter per table and part. A batch is never joined with
-the history: its own keys go to the tasks of their parts, which ask the Bloom filters and read of the store only the
-row groups that can hold the keys that pass.
+fingerprints of texts, each with the text's word marks) and ``docs`` (the texts), and a Bloom filter per table and
+part. A batch is never joined with the history: its own keys go to the tasks of their parts, which ask the Bloom
+filters and read of the store only the row groups that can hold the keys that pass. Texts that share a fingerprint grow
+with the history, rewordings hardly do: word marks tell most of the former apart before any text is read.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from difflib import SequenceMatcher
 from functools import lru_cache
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +36,10 @@ COVERAGE, SAME_WORDS = 0.3, 0.86
 PART_ROWS, BLOOM_BITS, BLOOM_HASHES = 500_000, 16, 7
 #: Slots of the table of fingerprint counts, which gives the order from rare to common.
 COUNT_SLOTS = 1 << 20
+#: Bits of a text's word marks, above the number of its words; greater numbers than ``MANY_WORDS`` are not told apart.
+MARKS, MANY_WORDS = 56, 255
+#: Bytes of a batch that ask one part together, and pairs made of them at a time.
+ASKED_BYTES, PAIRS = 1 << 24, 500_000
 
 
 def _positions(h: np.ndarray, bits: int) -> Iterator[np.ndarray]:
@@ -71,7 +77,7 @@ def _files(folder: str) -> list[tuple[pafs.FileSystem, str]]:
     return [(fs, f.path) for f in found if f.path.endswith(".parquet")]
 
 
-@lru_cache(64)
+@lru_cache(16)
 def _bloom(folder: str) -> bytes | None:
     for fs, f in _files(folder):
         t = pq.read_table(f, filesystem=fs, columns=["bloom"])
@@ -99,6 +105,35 @@ def rare_first(row: np.ndarray, h: np.ndarray, counts: np.ndarray, coverage: flo
     return row[keep], h[keep]
 
 
+def word_marks(texts: list[str]) -> np.ndarray:
+    """A bit per word by its hash, and the number of words in the lowest byte."""
+    bit: dict[str, int] = {}
+    out = np.zeros(len(texts), np.uint64)
+    for i, t in enumerate(texts):
+        words, marks = t.split(), 0
+        for w in words:
+            b = bit.get(w)
+            if b is None:
+                b = bit[w] = 256 << crc32(w.encode()) % MARKS
+            marks |= b
+        out[i] = marks | min(len(words), MANY_WORDS)
+    return out.view(np.int64)
+
+
+def may_reword(a: np.ndarray, b: np.ndarray, same_words: float) -> np.ndarray:
+    """Whether texts of these word marks can have ``same_words`` in order: a bit of one alone is a word the other lacks."""
+    na, nb = a & 255, b & 255
+    unlike = np.bitwise_count((a ^ b).view(np.uint64) >> np.uint64(8))
+    return (unlike <= (1 - same_words) * (na + nb) + 1e-6) | (na == MANY_WORDS) | (nb == MANY_WORDS)
+
+
+def _may_reword(a: str, b: str, same_words: float) -> Column:
+    """``may_reword`` of two columns."""
+    na, nb = F.col(a).bitwiseAND(F.lit(255)), F.col(b).bitwiseAND(F.lit(255))
+    unlike = F.bit_count(F.shiftrightunsigned(F.col(a).bitwiseXOR(F.col(b)), 8))
+    return (unlike <= F.lit(1 - same_words) * (na + nb) + F.lit(1e-6)) | (na == MANY_WORDS) | (nb == MANY_WORDS)
+
+
 def reworded(a: str, b: str, fa: np.ndarray, fb: np.ndarray, coverage: float, same_words: float) -> bool:
     """Shared coverage first, then the words in order."""
     if a == b:
@@ -150,15 +185,16 @@ class History:
 
     def add(self, gen: str, keys: DataFrame | None, texts: DataFrame) -> None:
         """``keys`` (kind, value) and canonical ``texts`` (text) become the next generation; texts are keys too."""
-        texts = texts.where("text is not null").select("text").distinct()
+        self._write(texts.where("text is not null").select("text").distinct().select(F.xxhash64("text").alias("h"), "text"), gen, "docs")
+        docs = self.spark.read.schema("h bigint, text string").parquet(f"{self.path}/{gen}/docs")  # made once, read by all that follows
         if not self.generations:
-            self._first_counts(texts)
-        own = texts.select(F.lit("text").alias("kind"), F.col("text").alias("value"))
-        hashed = hash_keys(own if keys is None else keys.where("value is not null").unionByName(own)).distinct()
-        prints = self._prints(texts.select(F.xxhash64("text").alias("id"), "text")).select("h", F.col("id").alias("doc"))
-        docs = texts.select(F.xxhash64("text").alias("h"), "text")
-        with ThreadPoolExecutor(3) as pool:
-            list(pool.map(self._write, (hashed, prints, docs), (gen,) * 3, ("keys", "prints", "docs")))
+            self._first_counts(docs.select("text"))
+        hashed = hash_keys(docs.select(F.lit("text").alias("kind"), F.col("text").alias("value")))
+        if keys is not None:
+            hashed = hashed.unionByName(hash_keys(keys.where("value is not null")).distinct())
+        prints = self._prints(docs.select(F.col("h").alias("id"), "text")).select("h", F.col("id").alias("doc"), "marks")
+        with ThreadPoolExecutor(2) as pool:
+            list(pool.map(self._write, (hashed, prints), (gen,) * 2, ("keys", "prints")))
         self.generations.append(gen)
 
     def _first_counts(self, texts: DataFrame) -> None:
@@ -173,15 +209,16 @@ class History:
         texts.mapInArrow(slots, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).coalesce(1).write.parquet(f"{self.path}/counts")
 
     def _prints(self, texts: DataFrame) -> DataFrame:
-        """``(id, h)``: the rare fingerprints of each ``(id, text)``."""
+        """``(id, h, marks)``: the rare fingerprints of each ``(id, text)``, with its word marks."""
         folder, coverage = f"{self.path}/counts", self.coverage
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                row, h = rare_first(*fingerprints(b["text"].to_pylist(), GRAM, WINDOW), _counts(folder), coverage)
-                yield pa.RecordBatch.from_arrays([b["id"].take(pa.array(row)), pa.array(h)], names=["id", "h"])
+                texts = b["text"].to_pylist()
+                row, h = rare_first(*fingerprints(texts, GRAM, WINDOW), _counts(folder), coverage)
+                yield pa.RecordBatch.from_arrays([b["id"].take(pa.array(row)), pa.array(h), pa.array(word_marks(texts)[row])], names=["id", "h", "marks"])
 
-        return texts.select("id", "text").mapInArrow(run, "id bigint, h bigint")
+        return texts.select("id", "text").mapInArrow(run, "id bigint, h bigint, marks bigint")
 
     # --- reading
 
@@ -190,29 +227,31 @@ class History:
         gens = [f"{self.path}/{g}" for g in self.generations]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                parts, h = b["part"].to_numpy(), b["h"].to_numpy()
-                for p in np.unique(parts):
-                    own = np.flatnonzero(parts == p)
-                    for g in gens:
-                        bloom = _bloom(f"{g}/bloom-{name}/part={p}") if name != "docs" else None
-                        at = own if name == "docs" else own[bloom_test(bloom, h[own])] if bloom else own[:0]
-                        if not len(at):
-                            continue
-                        wanted = pa.array(np.unique(h[at]))
-                        kept = [pq.ParquetFile(f, filesystem=fs) for fs, f in _files(f"{g}/{name}/part={p}")]
-                        found = [t for f in kept for t in _row_groups(f, wanted)]
-                        if not found:
-                            continue
-                        rows = pa.concat_tables(found)
-                        rows = rows.take(pc.sort_indices(rows["h"]))
-                        sh = rows["h"].to_numpy()
-                        lo, hi = np.searchsorted(sh, h[at], "left"), np.searchsorted(sh, h[at], "right")
-                        n = hi - lo
-                        if not n.sum():
-                            continue
-                        right = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                        out = emit(b.take(pa.array(np.repeat(at, n))), rows.take(pa.array(right)))
+            for p, b in _by_part(batches):
+                h = b["h"].to_numpy()
+                for g in gens:
+                    bloom = _bloom(f"{g}/bloom-{name}/part={p}") if name != "docs" else None
+                    at = np.arange(len(h)) if name == "docs" else np.flatnonzero(bloom_test(bloom, h)) if bloom else ()
+                    if not len(at):
+                        continue
+                    wanted = pa.array(np.unique(h[at]))
+                    kept = [pq.ParquetFile(f, filesystem=fs) for fs, f in _files(f"{g}/{name}/part={p}")]
+                    found = [t for f in kept for t in _row_groups(f, wanted)]
+                    if not found:
+                        continue
+                    rows = pa.concat_tables(found)
+                    rows = rows.take(pc.sort_indices(rows["h"]))
+                    sh = rows["h"].to_numpy()
+                    lo, n = np.searchsorted(sh, h[at], "left"), np.searchsorted(sh, h[at], "right")
+                    n -= lo
+                    at, lo, n = at[n > 0], lo[n > 0], n[n > 0]
+                    if not len(at):
+                        continue
+                    slot = np.cumsum(n) // PAIRS
+                    for own in np.split(np.arange(len(at)), np.flatnonzero(slot[1:] != slot[:-1]) + 1):
+                        k = n[own]
+                        right = np.repeat(lo[own] - (np.cumsum(k) - k), k) + np.arange(k.sum())
+                        out = emit(b.take(pa.array(np.repeat(at[own], k))), rows.take(pa.array(right)))
                         if out is not None and out.num_rows:
                             yield out
 
@@ -233,8 +272,9 @@ class History:
         coverage, same_words = self.coverage, self.same_words
 
         def candidates(mine: pa.RecordBatch, theirs: pa.Table) -> pa.RecordBatch:
-            t = pa.table({"id": mine["id"], "h": theirs["doc"]}).group_by(["id", "h"]).aggregate([])
-            return t.select(["id", "h"]).combine_chunks().to_batches()[0]
+            near = pa.array(may_reword(mine["marks"].to_numpy(), theirs["marks"].to_numpy(), same_words))
+            t = pa.table({"id": mine["id"].filter(near), "h": theirs["doc"].filter(near)}).group_by(["id", "h"]).aggregate([])
+            return next(iter(t.select(["id", "h"]).combine_chunks().to_batches()), None)
 
         def verified(mine: pa.RecordBatch, theirs: pa.Table) -> pa.RecordBatch:
             ok = _verify(mine["text"].to_pylist(), theirs["text"].to_pylist(), coverage, same_words)
@@ -252,8 +292,8 @@ class History:
                 ok = pa.array(_verify(x["ta"].to_pylist(), x["tb"].to_pylist(), coverage, same_words))
                 yield pa.RecordBatch.from_arrays([x["a"].filter(ok), x["b"].filter(ok)], names=["a", "b"])
 
-        left, right = prints.select("h", F.col("id").alias("a")), prints.select("h", F.col("id").alias("b"))
-        pairs = left.join(right, "h").where("a < b").select("a", "b").distinct()
+        left, right = prints.select("h", F.col("id").alias("a"), F.col("marks").alias("ma")), prints.select("h", F.col("id").alias("b"), F.col("marks").alias("mb"))
+        pairs = left.join(right, "h").where(F.expr("a < b") & _may_reword("ma", "mb", same_words)).select("a", "b").distinct()
         pairs = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
         return pairs.mapInArrow(run, "a bigint, b bigint")
 
@@ -296,6 +336,24 @@ class History:
         return self.spark.read.schema(df.schema).parquet(folder)
 
 
+def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Rows sorted by part, those of one part together, so that its files are read once and not once a batch."""
+    held, part, size = [], None, 0
+    for b in batches:
+        parts = b["part"].to_numpy()
+        for at in np.split(np.arange(len(parts)), np.flatnonzero(parts[1:] != parts[:-1]) + 1):
+            if not len(at):
+                continue
+            if held and (parts[at[0]] != part or size >= ASKED_BYTES):
+                yield part, pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, size = [], 0
+            part = int(parts[at[0]])
+            held.append(b.slice(at[0], len(at)))
+            size += held[-1].nbytes
+    if held:
+        yield part, pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def _row_groups(f: pq.ParquetFile, wanted: pa.Array) -> Iterator[pa.Table]:
     """Rows with a wanted key, from the row groups whose range of keys holds one."""
     w = wanted.to_numpy()
