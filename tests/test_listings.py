@@ -27,3 +27,12 @@ def agrees(spark, d, name, rows):
 
 def test_d12_on_odd_parts(spark, tmp_path):
     agrees(spark, str(tmp_path), "d12_band_join", odd_parts())
+
+
+def test_d13_on_odd_parts(spark, tmp_path):
+    agrees(spark, str(tmp_path), "d13_price_band", odd_parts())
+
+
+def test_d13_takes_the_first_of_many(spark, tmp_path):
+    rng = random.Random(2)
+    agrees(spark, str(tmp_path), "d13_price_band", [(k, "x", rng.choice(["B1", "B1", "B1", "B2"]), "T", 1, round(rng.uniform(95, 105), 1)) for k in range(1200)])
