@@ -36,3 +36,16 @@ def test_d13_on_odd_parts(spark, tmp_path):
 def test_d13_takes_the_first_of_many(spark, tmp_path):
     rng = random.Random(2)
     agrees(spark, str(tmp_path), "d13_price_band", [(k, "x", rng.choice(["B1", "B1", "B1", "B2"]), "T", 1, round(rng.uniform(95, 105), 1)) for k in range(1200)])
+
+
+def test_h16_on_odd_parts(spark, tmp_path):
+    agrees(spark, str(tmp_path), "h16_best_duplicates", odd_parts())
+
+
+def test_h16_asks_few_of_many_alike(spark, tmp_path):
+    from tidemark.plans.checks import _best_of_bands
+
+    rng = random.Random(8)
+    rows = [(k, "red bolt", rng.choice(["B1", "B2"]), rng.choice(["T1", "T2"]), rng.choice([1, 2, None]), rng.choice([50.0, 50.5, 80.0, None])) for k in range(500)]
+    agrees(spark, str(tmp_path), "h16_best_duplicates", rows)
+    assert _best_of_bands(spark.read.parquet(f"{tmp_path}/part.parquet")).distinct().count() <= 6 * len(rows)  # and not all pairs
